@@ -271,8 +271,8 @@ def pair_score(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE g AS (SELECT p_partkey AS id, {GRAMS.format(c="p_name || ' ' || p_type")} AS g FROM part WHERE p_size <= 5),
 p AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id <> b.id AND len(list_intersect(a.g, b.g)) >= (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) * 0.8),
-r AS (SELECT a AS node, a AS at FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.at)
-SELECT node, min(at) AS root FROM r GROUP BY node""")
+r AS (SELECT a AS node, a AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
+SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def components(spark, sf_dir):
     ready(spark)
     return linkage.components(trigram_pairs(spark, sf_dir))
