@@ -93,9 +93,9 @@ link AS (
   ON a.label = b.label AND a.vec_id <> b.vec_id AND a.fine AND b.fine
   AND list_cosine_similarity(a.e, b.e) >= 0.98),
 reach AS (
-  SELECT vec_id AS node, vec_id AS at FROM v
-  UNION SELECT r.node, l.v FROM reach r JOIN link l ON l.u = r.at)
+  SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION SELECT r.node, l.v FROM reach r JOIN link l ON l.u = r.seen)
 SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.u = v.vec_id)::BIGINT AS n_links,
-       min(r.at) AS component_id, v.vec_id = min(r.at) AS kept
+       min(r.seen) AS component_id, v.vec_id = min(r.seen) AS kept
 FROM v JOIN reach r ON r.node = v.vec_id GROUP BY v.vec_id
 """
