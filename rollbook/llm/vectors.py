@@ -2,9 +2,9 @@
 
 Unit vectors are put into inverted lists of a coarse quantiser; what is left of them
 is quantised in subspaces, a byte each. Centroids and codebooks are fitted on a bounded
-sample, every row is indexed. A row asks all lists in which a link can lie: if two unit
-vectors are at most r apart, the other's list centre is at most 2r farther from this one
-than its own. Within a list, distances come from lookup tables of the query's residual
+sample, every row is indexed. A row asks all lists in which a link can lie: a vector of
+another list is on the far side of the plane between the two centres, so a list is asked
+only if that plane is within the radius of a link. Within a list, distances come from lookup tables of the query's residual
 against the codebooks; with the quantising error that is stored for each row they bound
 the true distance from below, so what is dropped is proven to be too far. The rest is
 reranked by the exact cosine in double precision.
@@ -25,7 +25,7 @@ from .components import components
 
 COSINE = 0.98
 #: Rows that the quantisers are fitted on at most, lists at most, rows a list aimed at.
-SAMPLE, LISTS, ROWS_A_LIST = 20_000, 1024, 256
+SAMPLE, LISTS, ROWS_A_LIST = 20_000, 1024, 1024
 SUBSPACES, CODES = 8, 64
 BLOCK = 2_000
 QUERIES = 512
@@ -57,6 +57,8 @@ class Index:
             return
         lists = int(np.clip(rows // ROWS_A_LIST, 1, LISTS))
         self.centres = _kmeans(sample, lists, 8, seed)
+        squares = (self.centres**2).sum(1)
+        self.apart = np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.centres @ self.centres.T, 0))
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         left = sample - self.centres[_nearest(sample, self.centres)]
         self.books = [_kmeans(left[:, a:b], CODES, 6, seed + k) for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
@@ -73,8 +75,10 @@ class Index:
 
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, list) of every list that may hold a vector within the radius."""
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0))
-        return np.nonzero(d <= d.min(1, keepdims=True) + 2 * radius + ROUNDING)
+        d = (x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T
+        own = d.argmin(1)
+        # half of (d - own d) / apart is the way to the plane between the two centres
+        return np.nonzero(d - d[np.arange(len(x)), own][:, None] <= 2 * radius * self.apart[own] + ROUNDING)
 
     def distances(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """Distances of the queries to the quantised members of a list, summed from tables."""
@@ -102,7 +106,9 @@ def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding
     """
     spark = rows.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-7
-    data = rows.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    # floats travel as floats; all sums are in double precision
+    of = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    data = rows.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast(of).alias("v"))
     fine = F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     fine = fine & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     data = data.withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -142,7 +148,7 @@ def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding
 
     kind = one.schema["label"].dataType.simpleString()
     same = one.where(F.size("v") == (total.d or 0)).withColumn("node", F.col("node").cast("long"))
-    base = f"label {kind}, list int, node long, copies long, v array<double>"
+    base = f"label {kind}, list int, node long, copies long, v {of}"
     members = save(same.select("label", "node", "copies", "v").mapInArrow(put, f"{base}, codes binary, error double"), "index")
     sizes = members.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     stored = members.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
