@@ -153,15 +153,15 @@ def _contexts(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Context vectors, as unit vectors, of the words and shapes that the texts have often enough; a last row of zeros for all others."""
     number: dict[str, int] = {}
     shapes: dict[str, str] = {}
-    flat, size = [], []
+    parts, size = [], []
     for t in texts:
         own = [number.setdefault(x, len(number)) for w in t.split() for x in (w.lower(), shapes.get(w) or shapes.setdefault(w, _shape(w)))]
-        flat += own
+        parts.append(np.array(own, np.int32))
         size.append(len(own))
-    if not flat:
+    if not sum(size):
         return {}, np.zeros((1, DIM), np.float32)
-    ids, names = np.array(flat), list(number)
-    of = np.repeat(np.arange(len(size)), size)
+    ids, names = np.concatenate(parts), list(number)
+    of = np.repeat(np.arange(len(size), dtype=np.int32), size)
     places, signs = _random(_crc(names))
     count = np.bincount(ids, minlength=len(names))
     often = np.flatnonzero(count >= LEAST)
@@ -170,11 +170,13 @@ def _contexts(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     place[often] = np.arange(len(often))
     total = np.zeros(len(often) * DIM)
     for step in range(1, 2 * WINDOW + 1):
-        a, b = ids[:-step], ids[step:]
-        near = of[:-step] == of[step:]
-        for x, y in ((a, b), (b, a)):
-            use = near & (place[x] >= 0)
-            total += np.bincount((place[x[use]][:, None] * DIM + places[y[use]]).ravel(), signs[y[use]].ravel(), len(total))
+        for at in range(0, max(len(ids) - step, 0), 250_000):
+            end = min(at + 250_000, len(ids) - step)
+            a, b = ids[at:end], ids[at + step : end + step]
+            near = of[at:end] == of[at + step : end + step]
+            for x, y in ((a, b), (b, a)):
+                use = near & (place[x] >= 0)
+                total += np.bincount((place[x[use]][:, None] * DIM + places[y[use]]).ravel(), signs[y[use]].ravel(), len(total))
     table = total.reshape(-1, DIM)
     table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-9
     return {names[i]: k for k, i in enumerate(often)}, np.concatenate([table, np.zeros((1, DIM))]).astype(np.float32)
