@@ -71,6 +71,24 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str, max_docs: int, max_chars: int) -> tuple[list[str], np.ndarray]:
+    """At most ``max_docs`` labelled texts of each class, of ``max_chars`` characters or fewer, and their labels.
+
+    Which ones is decided by a hash of the text, in a join that carries no texts; the texts of the chosen rows (their
+    number is bounded) are read after that. Of repeated rows one counts.
+    """
+    spark = docs.sparkSession
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
+    whole = whole.where(F.length("t") <= max_chars).withColumn("h", F.xxhash64("t"))
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    known = whole.select("id", "h").join(marked, "id").distinct()
+    picked = [r for c in (0, 1) for r in known.where(F.col("y") == c).orderBy("h", "id").limit(max_docs).collect()]
+    chosen = spark.createDataFrame(picked, known.schema)
+    texts = whole.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h", "y").agg(F.first("t").alias("t"))
+    rows = sorted(texts.collect(), key=lambda r: (r.y, r.h, r.id))
+    return [r.t for r in rows], np.array([r.y for r in rows], dtype=np.int64)
+
+
 def by_group(batches, key: str, least: int = 50_000):
     """Regroup a stream of record batches sorted by ``key``: yields tables of whole groups, ``least`` rows or more."""
     held: list[pa.Table] = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import labelled_sample, small_batches
 
 DIM, NONZERO, WINDOW = 64, 4, 2
 HIDDEN, ROUNDS, RATE = 32, 60, 3e-3
@@ -228,12 +228,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, seed: int = 5) -> QualityMod
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", label: str = "quality", max_docs: int = MAX_DOCS) -> QualityModel:
     """Learn from the documents that ``labels`` marks: at most ``max_docs`` of each class, taken by a hash of the text."""
-    marked = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("y"))
-    known = docs.select(id_col, F.col(text).cast("string").alias("t")).where("t is not null").join(marked, id_col).where(F.length("t") <= MAX_CHARS)
-    rows = []
-    for c in (0, 1):
-        rows += known.where(F.col("y") == c).select("t", "y").orderBy(F.xxhash64("t"), "t").limit(max_docs).collect()
-    return fit_texts([r.t for r in rows], np.array([r.y for r in rows]))
+    return fit_texts(*labelled_sample(docs, labels, text, id_col, label, max_docs, MAX_CHARS))
 
 
 def score(docs: DataFrame, model: QualityModel, *, text: str = "text", out: str = "score") -> DataFrame:
