@@ -31,7 +31,9 @@ overlap by a window, so a text may be as long as Spark can hold.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -47,6 +49,8 @@ GRAM = 144
 BAND = 16
 MOST = 50_000
 CHUNK = 1 << 21
+#: Signs that a word is written by where passages are counted in words.
+CODE = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -372,19 +376,64 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", leng
     return docs.select(F.col(id_col).alias("id"), _text_id(whole_text(text)).alias("tid")).join(made, "tid").drop("tid")
 
 
-def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
+@lru_cache(maxsize=200_000)
+def _code(word: str) -> str:
+    return base64.b64encode(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=CODE * 6 // 8).digest()).decode()
+
+
+def _codes(docs: DataFrame, text: str) -> DataFrame:
+    """(tid, codes) of each row: its words (between white space) by CODE signs each, joined."""
+
+    def run(batches):
+        for batch in batches:
+            codes = ["".join(map(_code, t.split())) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string())], names=["tid", "codes"])
+
+    return docs.select(_text_id(whole_text(text)).alias("tid"), whole_text(text).alias("text")).mapInArrow(run, "tid binary, codes string")
+
+
+def _byte_spans(text: str, spans: list) -> list[dict]:
+    """The bytes of ranges of codes: from the start of the first word to the end of the last."""
+    if not spans:
+        return []
+    at = np.array([m.span() for m in re.finditer(r"\S+", text)])
+    if not text.isascii():
+        size = np.fromiter((len(c.encode("utf-8", "replace")) for c in text), np.int64, len(text))
+        at = np.concatenate([[0], np.cumsum(size)])[at]
+    return [{"start": int(at[-(-s["start"] // CODE), 0]), "end": int(at[s["end"] // CODE - 1, 1])} for s in spans]
+
+
+def _union(spans: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
+        else:
+            out.append(s)
+    return out
+
+
+def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, most: int = MOST, words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated bytes gone from the text; rows of which nothing but white space is left after a removal go.
 
-    A character of which a byte is removed goes with it.
+    A character of which a byte is removed goes with it. With ``words``, passages of that many words or more that
+    occur again go as well, however few bytes they have: the same search over words that are written by fixed codes.
     """
 
     def run(batches):
         for batch in batches:
-            values, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            kept = [kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(values, spans, strict=True)]
+            values, spans, more = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            kept = [kept_bytes(t, _union(s + _byte_spans(t, w or []))).decode("utf-8", "ignore") for t, s, w in zip(values, spans, more, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["__tid", "__kept"])
 
-    found = repeated_spans(docs, text=text, length=length, most=most).where(F.size("spans") > 0)
+    found = repeated_spans(docs, text=text, length=length, most=most)
+    if words is None:
+        found = found.where(F.size("spans") > 0).withColumn("more", F.lit(None).cast(found.schema["spans"].dataType))
+    else:
+        coded = _codes(docs, text)
+        again = repeated_spans(coded, text="codes", length=words * CODE, most=most).where(F.size("spans") > 0).select(F.col("tid").alias("code_id"), F.col("spans").alias("more"))
+        again = coded.select("tid", _text_id(F.col("codes")).alias("code_id")).distinct().join(again, "code_id").select("tid", "more")
+        found = found.join(again, "tid", "left").where((F.size("spans") > 0) | F.col("more").isNotNull()).select("tid", "text", "spans", "more")
     made = found.mapInArrow(run, T.StructType([T.StructField("__tid", T.BinaryType()), T.StructField("__kept", T.StringType())]))
     joined = docs.withColumn("__tid", _text_id(whole_text(text))).join(made, "__tid", "left")
     left = joined.where(F.col("__kept").isNull() | (F.trim(F.regexp_replace("__kept", r"\s+", " ")) != ""))

@@ -53,3 +53,21 @@ def test_near_copies_of_odd_rows(spark, odd, nothing):
     # 8 is there twice with different texts; which of them stays isn't said
     assert sorted(i for i in ids if i) == [1, 4, 5, 6, 7, 8, 9] and ids.count(None) == 2
     assert near.deduplicate(nothing).count() == 0 and near.classes(nothing).count() == 0
+
+
+def test_passages_of_over_50_words_are_cut_however_short(spark):
+    rng = random.Random(6)
+    some = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    tiny, short, fifty, long = " ".join("abcdefghijklmnopqrstuvwxyz"[k % 26] for k in range(51)), some(51), some(50), some(90)
+    assert len(short.encode()) < 400 and len(fifty.encode()) < 400 < len(long.encode())
+    parts = [(some(20), p, some(30)) for p in (tiny, short, fifty, long) for _ in range(2)]
+    # the words are the passage, not what is between them
+    parts[3] = (parts[3][0], short.replace(" ", "\n", 7), parts[3][2])
+    rows = [(k, " ".join(p), None, None, 0) for k, p in enumerate(parts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    have = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix"](spark, docs, SMALL).collect()}
+    for k, (a, p, b) in enumerate(parts):
+        if p == long:  # bytes are cut there, those of the spaces around it as well
+            assert long[20:-20] not in have[k] and len(have[k]) <= len(a + b) + 2
+        else:
+            assert have[k].split() == " ".join((a, p, b) if p == fifty else (a, b)).split()
