@@ -100,8 +100,8 @@ def _matrix(column) -> np.ndarray:
 def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of ``rows``.
 
-    Rows are linked if their labels are equal and the cosine of their vectors is at least ``cosine``. Vectors that are
-    null, zero, of another length than most, or hold null or non-finite numbers, and rows with a null label or id, link
+    Rows are linked if their labels are equal and the cosine of their vectors is at least ``cosine``. Vectors of
+    different lengths aren't linked. Vectors that are null, zero, or hold null or non-finite numbers, and rows with a null label or id, link
     with nothing: such a row is its own class. Repeated ids count as separate rows with one name.
     """
     spark = rows.sparkSession
@@ -115,15 +115,18 @@ def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding
     # a direction is named by the hash of label and vector; equal vectors are one from here on
     good = data.where("fine").withColumn("key", F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.col("v").cast("array<string>"), ","))))
     one = save(good.groupBy("key", "label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("node")), "vectors")
-    total = one.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).collect()[0]
-    if total.n:
-        share = min(1.0, 1.2 * SAMPLE / total.n)
-        sample = one.sample(fraction=share, seed=1).where(F.size("v") == total.d) if share < 1 else one.where(F.size("v") == total.d)
-        x = np.array([r.v for r in sample.select("v").limit(SAMPLE).collect()], np.float64)
+    counts = {r.d: r.n for r in one.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = min(1.0, 1.2 * SAMPLE / max(sum(counts.values()), 1))
+    sample = one.sample(fraction=share, seed=1) if share < 1 else one
+    picked: dict[int, list] = {}
+    for r in sample.select("v").limit(SAMPLE).collect():
+        picked.setdefault(len(r.v), []).append(r.v)
+    index = {}
+    for d, n in counts.items():
+        # a length that the sample lacks has one list around any centre: the bounds hold, they only exclude less
+        x = np.array(picked.get(d, [[1.0] * d]), np.float64)
         x /= np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
-        index = Index(x / np.linalg.norm(x, axis=1, keepdims=True), total.n)
-    else:
-        index = Index(np.zeros((0, 0)), 0)
+        index[d] = Index(x / np.linalg.norm(x, axis=1, keepdims=True), n)
     held = spark.sparkContext.broadcast(index)
 
     def unit(table) -> np.ndarray:
@@ -131,29 +134,32 @@ def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding
         x = x / np.abs(x).max(1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def put(batches):
+    def by_length(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, codes, error = held.value.encode(unit(batch))
+            size = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(size):
+                yield int(d), batch.filter(pa.array(size == d))
+
+    def put(batches):
+        for dim, batch in by_length(batches):
+            own, codes, error = held.value[dim].encode(unit(batch))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own.astype(np.int32)), batch.column("node"), batch.column("copies"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["label", "list", "node", "copies", "v", "codes", "error"])
 
     def ask(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, own = held.value.probes(unit(batch), radius)
+        for dim, batch in by_length(batches):
+            q, own = held.value[dim].probes(unit(batch), radius)
             take = pa.array(q)
             yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(own.astype(np.int32)), batch.column("node").take(take), batch.column("copies").take(take), batch.column("v").take(take)], names=["label", "list", "node", "copies", "v"])
 
     kind = one.schema["label"].dataType.simpleString()
-    same = one.where(F.size("v") == (total.d or 0)).withColumn("node", F.col("node").cast("long"))
+    same = one.withColumn("node", F.col("node").cast("long"))
     base = f"label {kind}, list int, node long, copies long, v {of}"
     members = save(same.select("label", "node", "copies", "v").mapInArrow(put, f"{base}, codes binary, error double"), "index")
-    sizes = members.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    stored = members.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    queries = same.select("label", "node", "copies", "v").mapInArrow(ask, base).join(sizes, ["label", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("label", "list", "block").alias("key")
+    members = members.withColumn("dim", F.size("v"))
+    sizes = members.groupBy("label", "dim", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    stored = members.join(sizes, ["label", "dim", "list"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    queries = same.select("label", "node", "copies", "v").mapInArrow(ask, base).withColumn("dim", F.size("v")).join(sizes, ["label", "dim", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("label", "dim", "list", "block").alias("key")
     both = stored.select(group, "label", "list", "block", "node", "copies", "v", "codes", "error").unionByName(queries.select(group, "label", "list", "block", "node", "copies", "v"), allowMissingColumns=True)
 
     def search(batches):
@@ -174,7 +180,7 @@ def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding
                 u, v, near = [], [], np.zeros(len(asking), np.int64)
                 for at in range(0, len(asking), QUERIES):
                     rows = asking[at : at + QUERIES]
-                    q, m = np.nonzero(held.value.distances(x[rows], own, codes) - error <= radius + ROUNDING)
+                    q, m = np.nonzero(held.value[x.shape[1]].distances(x[rows], own, codes) - error <= radius + ROUNDING)
                     exact = np.einsum("ij,ij->i", x[rows[q]], x[stored_rows[m]])
                     linked = (exact >= cosine) & (node[rows[q]] != node[stored_rows[m]])
                     q, m = rows[q[linked]], stored_rows[m[linked]]
