@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """What is written here isn't computed again, so its shuffle files may go when it is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.rollbook_path = path
+    return made
+
+
+def save_bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The same, dealt by ``key`` into as many buckets as there are shuffle partitions: joins on it move the other side only."""
+    spark = df.sparkSession
+    n, path = partitions(spark), new_path(spark, name)
+    table = "rollbook_" + uuid.uuid4().hex
+    with _shuffles_go(spark):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete tables by :func:`save` that nothing asks for any more."""
+    for df in saved:
+        _delete(df.sparkSession, df.rollbook_path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table that this application has written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

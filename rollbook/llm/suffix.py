@@ -1,56 +1,65 @@
 """Exact removal of long repeated substrings by external induced sorting.
 
-A byte is removed if a string of ``length`` bytes that covers it also starts anywhere
-else in the corpus (same text included; matches never cross texts). All starts are
-found, not a sample of them:
-
-1. *Sample suffixes.* Every window of ``length`` bytes has an anchor, the place in it
-   whose next ``GRAM`` bytes hash lowest (the rightmost of equals). Equal windows have
-   their anchors at the same offset, so only windows at anchors with equal grams are
-   ever compared. An anchor stands for a run of windows; its *span* is their union.
-2. *Naming.* Anchors are named by (gram hash, span hash) and the names are counted with
-   map-side sums. A name that occurs twice means that all windows of the run repeat, and
-   one occurrence stands for the others from here on. A gram that only one text place
-   has is done with. This settles exact copies and the inside of near copies.
+A symbol is removed if a string of ``length`` symbols that covers it also starts anywhere
+else in the corpus (same text included; matches never cross texts). Symbols are bytes, or
+words. All starts are found, not a sample of them:
+
+1. *Sample suffixes.* Every window of ``length`` symbols has an anchor, the place in it
+   whose next symbols (``gram`` of them) hash lowest (the rightmost of equals). Equal windows
+   have their anchors at the same offset, so only windows at anchors with equal grams are
+   ever compared. An anchor stands for a run of windows; its *span* is their union. Grams
+   that the corpus has at one place only are done with: they are left out by counts that
+   are summed up before any shuffle.
+2. *Naming.* Anchors are named by two hashes of different kinds, of the gram and of the
+   span, and the names are counted with map-side sums. A name that occurs twice means that
+   all windows of the run repeat, and one occurrence stands for the others from here on.
+   This settles exact copies and the inside of near copies.
 3. *Induced sorting.* What remains are grams with several different spans. Their
    suffixes are sorted from the anchor on by Spark's external sorter (sorted runs on
    disk, merged by a priority queue), a partition being far larger than memory if need
    be. The common prefixes of neighbours are taken once. The order of the windows that
-   start one byte earlier is then induced, byte by byte to the left: a stable sort of the
-   order before by the new first byte, the common prefix of new neighbours being one more
-   than the minimum between their old places. A window repeats if the prefix that it
-   shares with a neighbour reaches ``length``.
+   start one symbol earlier is then induced, symbol by symbol to the left: a stable sort of
+   the order before by the new first symbol, the common prefix of new neighbours being one
+   more than the minimum between their old places. A window repeats if the prefix that it
+   shares with a neighbour reaches ``length``; here symbols themselves are compared.
 4. *Recursion.* A gram with more than ``MOST`` different spans isn't sorted in one go: its
    windows are taken in bands of ``BAND`` starts, the band's common core being the gram
    and the band's union the span, and named again as in 2; of bands with too many spans
    each single window is named. So no group is bounded by luck, and none is cut short.
 
-Hashes are 64 bit, names 128 bit. Texts go through in pieces of ``CHUNK`` bytes that
-overlap by a window, so a text may be as long as Spark can hold.
+Texts are shuffled once, into a table with each different text once that is bucketed by the
+text's id; the later joins bring ids and places to it. What is gathered for one text (its
+anchors, runs and spans) is in proportion to that text, which is a row itself. Texts go
+through in pieces of ``CHUNK`` symbols that overlap by a window, so a text may be as long as
+Spark can hold.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_group, partitions, save, small_batches, whole_text
+from .common import by_group, drop, partitions, save, save_bucketed, small_batches, whole_text
 
 LENGTH = 400
+#: Symbols of a gram in a window of LENGTH; other windows in proportion.
 GRAM = 144
 BAND = 16
-MOST = 50_000
+MOST = 4_096
 CHUNK = 1 << 21
-#: Signs that a word is written by where passages are counted in words.
-CODE = 8
+SEED = 42
+#: Ranges of scripts that put no spaces between words; each of their characters counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+DENSE = re.compile(f"[{UNSPACED}]")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -75,13 +84,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+@lru_cache(maxsize=200_000)
+def _word(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), SEED)
+
+
+def words_of(text: str) -> list[str]:
+    """Between white space; of scripts without spaces each character."""
+    return WORD.findall(text) if not text.isascii() and DENSE.search(text) else text.split()
+
+
+def symbols(text: str, words: bool) -> np.ndarray:
+    """The bytes of a text, or its words as 64-bit numbers."""
+    if not words:
+        return np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    found = words_of(text)
+    return np.fromiter(map(_word, found), np.uint64, len(found))
+
+
 class Hashes:
     """Hashes of any substring of a buffer, in constant time each."""
 
     def __init__(self, data: np.ndarray):
         size = 1 << max(12, int(len(data)).bit_length())
         self.up, self.down = _powers(size)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * self.up[: len(data)], dtype=np.uint64)])
+        each = _TABLE[data] if data.dtype == np.uint8 else data
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(each * self.up[: len(data)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _MIX)
@@ -91,17 +119,23 @@ class Hashes:
         return _mixed((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
+def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of substrings by another function than that of the grams, from the symbols themselves."""
+    raw, width = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    name = xxhash.xxh3_64_intdigest
+    return np.fromiter((name(raw[a:b], SEED) for a, b in zip((start * width).tolist(), (end * width).tolist(), strict=True)), np.uint64, len(start)).view(np.int64)
+
+
 def anchors(data: np.ndarray, stop: np.ndarray, length: int, gram: int):
     """Anchors of the windows in a buffer of texts: (place, first window, last window, gram hash, span hash).
 
-    ``stop``: for each byte the end of its text. Windows that don't lie within one text are left out.
+    ``stop``: for each symbol the end of its text. Windows that don't lie within one text are left out.
     """
     empty = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
         return empty, empty, empty, empty, empty
-    hashes = Hashes(data)
-    h = hashes.grams(gram)
+    h = Hashes(data).grams(gram)
     order = np.arange(len(h), dtype=np.uint64)
     low = (h & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - order)  # of equals the rightmost is lowest
     width, have = length - gram + 1, 1
@@ -118,11 +152,11 @@ def anchors(data: np.ndarray, stop: np.ndarray, length: int, gram: int):
     ok = inside[first]
     first, last = first[ok], last[ok]
     at = place[first]
-    return at, first, last, h[at].view(np.int64), hashes.of(first, last + length).view(np.int64)
+    return at, first, last, h[at].view(np.int64), _names(data, first, last + length)
 
 
-def _pieces(texts: list[bytes], length: int):
-    """Buffers of at most about CHUNK bytes: (text numbers, their offsets in the text, joined bytes, starts in the buffer). Long texts are cut with an overlap that keeps every window in one piece."""
+def _pieces(texts: list[np.ndarray], length: int):
+    """Buffers of at most about CHUNK symbols: (text numbers, their offsets in the text, the parts). Long texts are cut with an overlap that keeps every window in one piece."""
     owner, offset, parts, size = [], [], [], 0
     for k, t in enumerate(texts):
         for at in range(0, max(len(t) - length + 1, 0), CHUNK):
@@ -138,25 +172,25 @@ def _pieces(texts: list[bytes], length: int):
         yield np.array(owner), np.array(offset), parts
 
 
-ANCHOR = "gram long, span long, tid binary, place long, first int, last int"
+ANCHOR = "gram long, span long, copies long, tid binary, place long, first int, last int"
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors of (tid, text), one row each: first and last count the bytes from a window's start to the anchor."""
+def _anchor_rows(one: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
+    """Anchors of (tid, text, copies), one row each: first and last count the symbols from a window's start to the anchor."""
 
     def run(batches):
         for batch in batches:
-            tids = batch.column(0)
-            texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            tids, copies = batch.column(0), batch.column(2)
+            texts = [symbols(t, words) for t in batch.column(1).to_pylist()]
             for owner, offset, parts in _pieces(texts, length):
                 size = np.array([len(x) for x in parts])
                 base = np.cumsum(size) - size
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                at, first, last, h, span = anchors(data, np.repeat(base + size, size), length, gram)
+                at, first, last, h, span = anchors(np.concatenate(parts), np.repeat(base + size, size), length, gram)
                 part = np.searchsorted(base, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(span), tids.take(pa.array(owner[part])), pa.array(at - base[part] + offset[part]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32))], names=["gram", "span", "tid", "place", "first", "last"])
+                of = pa.array(owner[part])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(span), copies.take(of), tids.take(of), pa.array(at - base[part] + offset[part]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32))], names=["gram", "span", "copies", "tid", "place", "first", "last"])
 
-    return docs.select("tid", "text").mapInArrow(run, ANCHOR)
+    return one.select("tid", "text", "copies").mapInArrow(run, ANCHOR)
 
 
 def _named(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -165,41 +199,42 @@ def _named(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     Gives the places whose whole run repeats, and one place for each of the names that a gram with several names
     has, with the number of the gram's names; of those, ``n`` tells how often the name occurs.
     """
-    once = save(rows.groupBy("gram", "span", "tid", "place", "first", "last").agg(F.count(F.lit(1)).alias("c")), f"{name}-anchors")
-    names = once.groupBy("gram", "span").agg(F.sum("c").alias("n"), F.min(F.struct("tid", "place", "first", "last")).alias("one"))
-    grams = names.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("total")).where("total > 1")
-    live = save(names.join(grams, "gram").select("gram", "span", "n", "spans", "one.*"), f"{name}-names")
-    repeated = once.join(live.where("n > 1").select("gram", "span"), ["gram", "span"]).select("tid", "place", "first", "last")
-    return repeated, live.where("spans > 1")
-
-
-def _cores(reps: DataFrame, docs: DataFrame, band: int, length: int) -> DataFrame:
-    """Anchor rows of the bands of the windows that ``reps`` stand for."""
-    wanted = reps.groupBy("tid").agg(F.collect_list(F.struct("gram", "place", "first", "last")).alias("w"))
+    rows = save(rows, f"{name}-all")
+    again = rows.groupBy("gram").agg(F.sum("copies").alias("total")).where("total > 1").select("gram")
+    shared = save(rows.join(again, "gram", "left_semi"), f"{name}-shared")
+    drop(rows)
+    names = save(shared.groupBy("gram", "span").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "place", "first", "last")).alias("one")), f"{name}-names")
+    grams = names.groupBy("gram").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1")
+    repeated = save(shared.join(names.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("tid", "place", "first", "last"), f"{name}-repeated")
+    mixed = save(names.join(grams, "gram").select("gram", "span", "n", "spans", "one.*"), f"{name}-mixed")
+    drop(shared, names)
+    return repeated, mixed
+
+
+def _cores(reps: DataFrame, one: DataFrame, band: int, length: int, words: bool) -> DataFrame:
+    """Anchor rows of the bands of the windows that ``reps`` stand for; what occurs ``n`` times counts so often again."""
+    wanted = reps.groupBy("tid").agg(F.collect_list(F.struct("gram", "n", "place", "first", "last")).alias("w"))
 
     def run(batches):
         for batch in batches:
             for tid, text, w in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-                g, p, a, b = (np.array([x[k] for x in w], np.int64) for k in ("gram", "place", "first", "last"))
+                data = symbols(text, words)
+                g, c, p, a, b = (np.array([x[k] for x in w], np.int64) for k in ("gram", "n", "place", "first", "last"))
                 low = (a // band) * band
                 each = (b - low) // band + 1
                 start = np.repeat(low, each) + band * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
-                g, p = np.repeat(g, each), np.repeat(p, each)
+                g, c, p = np.repeat(g, each), np.repeat(c, each), np.repeat(p, each)
                 first, last = np.maximum(np.repeat(a, each), start), np.minimum(np.repeat(b, each), start + band - 1)
-                hashes = Hashes(data)
-                core = hashes.of(p - start, p - start - band + 1 + length).view(np.int64)  # what all windows of the whole band share
-                span = hashes.of(p - last, p - first + length).view(np.int64)
+                core = Hashes(data).of(p - start, p - start - band + 1 + length).view(np.int64)  # what all windows of the whole band share
                 core = _mixed((core ^ (g * 31 + start)).view(np.uint64)).view(np.int64)
-                n = len(g)
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(span), pa.array([tid] * n, pa.binary()), pa.array(p), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["gram", "span", "tid", "place", "first", "last"])
+                span = _names(data, p - last, p - first + length)
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(span), pa.array(c), pa.array([tid] * len(g), pa.binary()), pa.array(p), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["gram", "span", "copies", "tid", "place", "first", "last"])
 
-    held = docs.join(wanted, "tid").select("tid", "text", "w")
-    return held.mapInArrow(run, ANCHOR)
+    return one.select("tid", "text").join(wanted, "tid").select("tid", "text", "w").mapInArrow(run, ANCHOR)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row of two byte tables."""
+    """Length of the common prefix of each row of two tables."""
     same = a == b
     return np.where(same.all(1), a.shape[1], same.argmin(1))
 
@@ -225,7 +260,7 @@ def _minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
 def induced(group: np.ndarray, left: np.ndarray, right: np.ndarray, right_n: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """Which windows repeat: a table with a column for each distance from a window's start to its anchor.
 
-    The rows are sorted by (group, right). ``left`` has the bytes before the anchor, nearest first; ``right`` those
+    The rows are sorted by (group, right). ``left`` has the symbols before the anchor, nearest first; ``right`` those
     from it on, ``right_n`` of them.
     """
     n, most = len(group), int(last.max())
@@ -243,8 +278,10 @@ def induced(group: np.ndarray, left: np.ndarray, right: np.ndarray, right_n: np.
             if not len(old):
                 break
             rows = order[old]
-            # groups lie in order already, so a stable sort by group and byte keeps each bucket's order
-            old = old[np.argsort((np.cumsum(np.concatenate([[0], group[rows][1:] != group[rows][:-1]])) << 8) | left[rows, d - 1], kind="stable")]
+            new = left[rows, d - 1]
+            new = new if new.dtype == np.uint8 else np.unique(new, return_inverse=True)[1]
+            # groups lie in order already, so a stable sort by group and symbol keeps each bucket's order
+            old = old[np.argsort((np.cumsum(np.concatenate([[0], group[rows][1:] != group[rows][:-1]])) << 32) | new, kind="stable")]
             rows = order[old]
             fits = (group[rows[1:]] == group[rows[:-1]]) & (left[rows[1:], d - 1] == left[rows[:-1], d - 1])
             new = np.zeros(len(rows) + 1, np.int64)
@@ -257,24 +294,25 @@ def induced(group: np.ndarray, left: np.ndarray, right: np.ndarray, right_n: np.
     return found
 
 
-def _sorted_groups(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+def _sorted_groups(reps: DataFrame, one: DataFrame, length: int, words: bool) -> DataFrame:
     """Windows that repeat among ``reps`` of the same gram: (tid, place, first, last) of runs."""
     wanted = reps.groupBy("tid").agg(F.collect_list(F.struct("gram", "n", "place", "first", "last")).alias("w"))
+    kind = np.dtype(np.uint64 if words else np.uint8)
 
     def cut(batches):
         for batch in batches:
             for tid, text, w in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = text.encode("utf-8", "replace")
+                data = symbols(text, words)
                 cols = {k: [x[k] for x in w] for k in ("gram", "n", "place", "first", "last")}
-                left = [data[p - b : p][::-1] for p, b in zip(cols["place"], cols["last"], strict=True)]
-                right = [data[p : p - a + length] for p, a in zip(cols["place"], cols["first"], strict=True)]
+                left = [data[p - b : p][::-1].tobytes() for p, b in zip(cols["place"], cols["last"], strict=True)]
+                right = [data[p : p - a + length].tobytes() for p, a in zip(cols["place"], cols["first"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols["gram"], pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array([tid] * len(w), pa.binary()), pa.array(cols["place"], pa.int64()), pa.array(cols["first"], pa.int32()), pa.array(cols["last"], pa.int32()), pa.array(cols["n"], pa.int64())], names=["gram", "right", "left", "tid", "place", "first", "last", "n"])
 
     def table(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         values = column.to_pylist()
         size = np.array([len(x) for x in values])
-        width = max(1, int(size.max()))
-        return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), np.uint8).reshape(len(values), width), size
+        width = max(kind.itemsize, int(size.max()))
+        return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in values), kind).reshape(len(values), -1), size // kind.itemsize
 
     def sort(batches):
         for rows in by_group(batches, "gram", 20_000):
@@ -288,7 +326,7 @@ def _sorted_groups(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             _, b = np.nonzero(edge == -1)
             yield pa.RecordBatch.from_arrays([rows.column("tid").combine_chunks().take(pa.array(row)), pa.array(place[row]), pa.array(a.astype(np.int32)), pa.array((b - 1).astype(np.int32))], names=["tid", "place", "first", "last"])
 
-    parts = docs.join(wanted, "tid").select("tid", "text", "w").mapInArrow(cut, "gram long, right binary, left binary, tid binary, place long, first int, last int, n long")
+    parts = one.select("tid", "text").join(wanted, "tid").select("tid", "text", "w").mapInArrow(cut, "gram long, right binary, left binary, tid binary, place long, first int, last int, n long")
     return parts.repartition(partitions(reps.sparkSession), "gram").sortWithinPartitions("gram", "right").mapInArrow(sort, "tid binary, place long, first int, last int")
 
 
@@ -296,30 +334,36 @@ def _text_id(text):
     return F.unhex(F.md5(text))
 
 
-def repeated_runs(texts: DataFrame, *, length: int = LENGTH, gram: int | None = None, most: int = MOST) -> DataFrame:
-    """Runs of window starts that repeat, as (tid, place, first, last): the windows that start ``first`` to ``last`` bytes before ``place``.
+def different(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """(tid, text, copies): each different text once, bucketed by its id. A null text counts as empty."""
+    rows = docs.select(_text_id(whole_text(text)).alias("tid"), whole_text(text).alias("text"))
+    once = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    return save_bucketed(once, "tid", "texts")
+
+
+def repeated_runs(one: DataFrame, *, length: int = LENGTH, words: bool = False, gram: int | None = None, most: int = MOST) -> DataFrame:
+    """Runs of window starts that repeat, as (tid, place, first, last): the windows that start ``first`` to ``last`` symbols before ``place``.
 
-    ``texts`` has (tid, text), a row for each occurrence; equal texts have equal ids, and each row counts.
+    ``one`` is what :func:`different` gives; each copy of a text counts.
     """
     gram = gram or max(1, length * GRAM // LENGTH)
-    repeated, mixed = _named(_anchor_rows(texts, length, gram), "grams")
-    one = texts.dropDuplicates(["tid"])
-    small = _sorted_groups(mixed.where(F.col("spans") <= most), one, length)
-    runs = repeated.union(small)
+    repeated, mixed = _named(_anchor_rows(one.where(F.octet_length("text") >= length), length, gram, words), "grams")
+    runs = [repeated, save(_sorted_groups(mixed.where(F.col("spans") <= most), one, length, words), "sorted")]
     big = mixed.where(F.col("spans") > most)
     if big.limit(1).count():
-        # all of a name's windows repeat if it occurs twice, so an occurrence of such a name is counted twice in each band
+        # all of a name's windows repeat if it occurs twice, so its windows are counted as often in each band
         for band in (BAND, 1):
-            rows = _cores(big, one, band, length)
-            twice = _cores(big.where("n > 1"), one, band, length)
-            repeated, mixed = _named(rows.union(twice), f"band{band}")
-            runs = runs.union(repeated).union(_sorted_groups(mixed.where(F.col("spans") <= most), one, length))
+            repeated, mixed = _named(_cores(big, one, band, length, words), f"band{band}")
+            runs += [repeated, save(_sorted_groups(mixed.where(F.col("spans") <= most), one, length, words), "sorted")]
             big = mixed.where(F.col("spans") > most)
-    return runs
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.union(r)
+    return out
 
 
 def _merge(starts: list, length: int, size: int) -> list[tuple[int, int]]:
-    """Byte spans that the windows of the runs cover, joined where they touch or overlap."""
+    """Spans that the windows of the runs cover, joined where they touch or overlap."""
     spans: list[list[int]] = []
     for p, a, b in sorted((x["place"] - x["last"], x["place"], x["first"]) for x in starts):
         low, high = p, min(a - b + length, size)
@@ -330,25 +374,39 @@ def _merge(starts: list, length: int, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
+def _byte_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes of ranges of words: from the start of the first word to the end of the last."""
+    if not spans:
+        return []
+    at = np.array([m.span() for m in WORD.finditer(text)])
+    if not text.isascii():
+        size = np.fromiter((len(c.encode("utf-8", "replace")) for c in text), np.int64, len(text))
+        at = np.concatenate([[0], np.cumsum(size)])[at]
+    return [(int(at[a, 0]), int(at[b - 1, 1])) for a, b in spans]
+
+
+def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, words: bool = False, most: int = MOST) -> DataFrame:
     """(tid, text, spans) for each different text, ``spans`` being the byte ranges [start, end) to remove, in order.
 
-    ``tid`` is the text's md5. A null text counts as empty; a text shorter than ``length`` has no spans. Repeated
-    rows are copies of each other, so all of such a text is removed if it is long enough.
+    ``tid`` is the text's md5. ``length`` counts bytes, or words (between white space; of scripts without spaces each
+    character). A null text counts as empty; a text shorter than ``length`` has no spans. Repeated rows are copies of
+    each other, so all of such a text is removed if it is long enough.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(_text_id(whole_text(text)).alias("tid"), whole_text(text).alias("text"))
-    runs = repeated_runs(texts.where(F.octet_length("text") >= length), length=length, most=most)
+    one = different(docs, text=text)
+    runs = repeated_runs(one, length=length, words=words, most=most)
     runs = runs.groupBy("tid").agg(F.collect_set(F.struct("place", "first", "last")).alias("runs"))
-    one = texts.dropDuplicates(["tid"])
 
     def run(batches):
         for batch in batches:
-            tids, values, found = (batch.column(k) for k in range(3))
-            spans = [[{"start": a, "end": b} for a, b in _merge(r or [], length, len(t.encode("utf-8", "replace")))] for t, r in zip(values.to_pylist(), found.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([tids, values, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["tid", "text", "spans"])
+            spans = []
+            for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size = (len(words_of(t)) if words else len(t.encode("utf-8", "replace"))) if r else 0
+                made = _merge(r or [], length, size)
+                spans.append([{"start": a, "end": b} for a, b in (_byte_spans(t, made) if words else made)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["tid", "text", "spans"])
 
-    return one.join(runs, "tid", "left").select("tid", "text", "runs").mapInArrow(run, "tid binary, text string, spans array<struct<start:bigint,end:bigint>>")
+    return one.select("tid", "text").join(runs, "tid", "left").select("tid", "text", "runs").mapInArrow(run, "tid binary, text string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def kept_bytes(text: str, spans: list) -> bytes:
@@ -360,7 +418,7 @@ def kept_bytes(text: str, spans: list) -> bytes:
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of ``docs``."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, changed), a row for each row of ``docs``."""
 
     def run(batches):
         for batch in batches:
@@ -368,72 +426,26 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", leng
             for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept = kept_bytes(t, s)
                 n = len(t.encode("utf-8", "replace"))
-                rows.append((n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
-            n, removed, spans, sha = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["tid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    made = repeated_spans(docs, text=text, length=length, most=most).mapInArrow(run, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return docs.select(F.col(id_col).alias("id"), _text_id(whole_text(text)).alias("tid")).join(made, "tid").drop("tid")
-
-
-@lru_cache(maxsize=200_000)
-def _code(word: str) -> str:
-    return base64.b64encode(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=CODE * 6 // 8).digest()).decode()
-
-
-def _codes(docs: DataFrame, text: str) -> DataFrame:
-    """(tid, codes) of each row: its words (between white space) by CODE signs each, joined."""
-
-    def run(batches):
-        for batch in batches:
-            codes = ["".join(map(_code, t.split())) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string())], names=["tid", "codes"])
-
-    return docs.select(_text_id(whole_text(text)).alias("tid"), whole_text(text).alias("text")).mapInArrow(run, "tid binary, codes string")
+                rows.append((n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest(), len(kept)))
+            n, removed, spans, sha, left = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.int64())], names=["tid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept"])
 
-
-def _byte_spans(text: str, spans: list) -> list[dict]:
-    """The bytes of ranges of codes: from the start of the first word to the end of the last."""
-    if not spans:
-        return []
-    at = np.array([m.span() for m in re.finditer(r"\S+", text)])
-    if not text.isascii():
-        size = np.fromiter((len(c.encode("utf-8", "replace")) for c in text), np.int64, len(text))
-        at = np.concatenate([[0], np.cumsum(size)])[at]
-    return [{"start": int(at[-(-s["start"] // CODE), 0]), "end": int(at[s["end"] // CODE - 1, 1])} for s in spans]
-
-
-def _union(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["start"]):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
-        else:
-            out.append(s)
-    return out
+    made = repeated_spans(docs, text=text, length=length, most=most).mapInArrow(run, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long")
+    return docs.select(F.col(id_col).alias("id"), _text_id(whole_text(text)).alias("tid")).join(made, "tid").drop("tid").withColumn("changed", F.col("n_removed") > 0)
 
 
-def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, most: int = MOST, words: int | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with the repeated bytes gone from the text; rows of which nothing but white space is left after a removal go.
+def deduplicate(docs: DataFrame, *, text: str = "text", length: int = LENGTH, words: bool = False, most: int = MOST) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated bytes or words gone from the text; rows of which nothing but white space is left after a removal go.
 
-    A character of which a byte is removed goes with it. With ``words``, passages of that many words or more that
-    occur again go as well, however few bytes they have: the same search over words that are written by fixed codes.
+    A character of which a byte is removed goes with it; white space around removed words stays.
     """
 
     def run(batches):
         for batch in batches:
-            values, spans, more = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            kept = [kept_bytes(t, _union(s + _byte_spans(t, w or []))).decode("utf-8", "ignore") for t, s, w in zip(values, spans, more, strict=True)]
+            kept = [kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["__tid", "__kept"])
 
-    found = repeated_spans(docs, text=text, length=length, most=most)
-    if words is None:
-        found = found.where(F.size("spans") > 0).withColumn("more", F.lit(None).cast(found.schema["spans"].dataType))
-    else:
-        coded = _codes(docs, text)
-        again = repeated_spans(coded, text="codes", length=words * CODE, most=most).where(F.size("spans") > 0).select(F.col("tid").alias("code_id"), F.col("spans").alias("more"))
-        again = coded.select("tid", _text_id(F.col("codes")).alias("code_id")).distinct().join(again, "code_id").select("tid", "more")
-        found = found.join(again, "tid", "left").where((F.size("spans") > 0) | F.col("more").isNotNull()).select("tid", "text", "spans", "more")
+    found = repeated_spans(docs, text=text, length=length, words=words, most=most).where(F.size("spans") > 0)
     made = found.mapInArrow(run, T.StructType([T.StructField("__tid", T.BinaryType()), T.StructField("__kept", T.StringType())]))
     joined = docs.withColumn("__tid", _text_id(whole_text(text))).join(made, "__tid", "left")
     left = joined.where(F.col("__kept").isNull() | (F.trim(F.regexp_replace("__kept", r"\s+", " ")) != ""))
