@@ -28,8 +28,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, or of 400 bytes, that occur again anywhere are cut out of the texts; a document of which nothing is left goes."""
-    cut = suffix.deduplicate(docs.select(COLUMNS), words=51)
+    """Passages of over 50 words that occur again anywhere are cut out of the texts; a document of which nothing is left goes."""
+    cut = suffix.deduplicate(docs.select(COLUMNS), length=51, words=True)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
 
 
