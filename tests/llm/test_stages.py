@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rollbook.llm import near
+from rollbook.llm import simhash
 
 from ..conftest import SMALL
 from .test_duplicates import roots
@@ -47,12 +47,12 @@ def test_near_copies_are_those_of_five_words(spark, small, planted):
 
 
 def test_near_copies_of_odd_rows(spark, odd, nothing):
-    kept = near.deduplicate(odd)
+    kept = simhash.deduplicate_similar(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     # 8 is there twice with different texts; which of them stays isn't said
     assert sorted(i for i in ids if i) == [1, 4, 5, 6, 7, 8, 9] and ids.count(None) == 2
-    assert near.deduplicate(nothing).count() == 0 and near.classes(nothing).count() == 0
+    assert simhash.deduplicate_similar(nothing).count() == 0 and simhash.similar(nothing).count() == 0
 
 
 def test_passages_of_over_50_words_are_cut_however_short(spark):
