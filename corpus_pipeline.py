@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, near, packing, suffix, toxicity
+from rollbook.llm import decontaminate, packing, simhash, suffix, toxicity
 from rollbook.llm.common import crc_mod, load, new_path
 from rollbook.llm.queries import tokenizer_path
 
@@ -24,7 +24,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share four fifths of their runs of five words the one with the smallest id stays."""
-    return near.deduplicate(docs.select(COLUMNS))
+    return simhash.deduplicate_similar(docs.select(COLUMNS))
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
