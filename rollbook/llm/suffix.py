@@ -200,9 +200,10 @@ def _named(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     has, with the number of the gram's names; of those, ``n`` tells how often the name occurs.
     """
     rows = save(rows, f"{name}-all")
-    again = rows.groupBy("gram").agg(F.sum("copies").alias("total")).where("total > 1").select("gram")
+    # as a table of its own, or the join couldn't split a gram that many places have
+    again = save(rows.groupBy("gram").agg(F.sum("copies").alias("total")).where("total > 1").select("gram"), f"{name}-again")
     shared = save(rows.join(again, "gram", "left_semi"), f"{name}-shared")
-    drop(rows)
+    drop(rows, again)
     names = save(shared.groupBy("gram", "span").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "place", "first", "last")).alias("one")), f"{name}-names")
     grams = names.groupBy("gram").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1")
     repeated = save(shared.join(names.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("tid", "place", "first", "last"), f"{name}-repeated")
