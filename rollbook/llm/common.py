@@ -84,6 +84,11 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_dir(spark))
 
 
+def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A frame of ids, to be broadcast if it has at most so many rows (some ten MB); beyond that Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Long texts: keep the Arrow batches of this session small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

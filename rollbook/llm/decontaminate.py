@@ -3,9 +3,15 @@
 Words are reduced to a template: lower case, no punctuation, numbers, units after a
 number, and names (capitals within a sentence) replaced by typed placeholders, whose
 words are the slots. Windows of ``WINDOW`` template words are hashed and joined with
-those of the benchmark. What matches is checked for its slots: an item's windows in a
-document must agree on what each of the item's slot words was replaced by, and different
-slot words mustn't become one.
+those of the benchmark; an item of fewer words is one window of its own length, and the
+documents' windows of that length are hashed as well. Windows with too few words that
+aren't placeholders would match anything, so they are asked for word by word instead.
+
+What matches is checked for its slots: an item's windows in a document must agree on what
+each of the item's slot words was replaced by, and different slot words mustn't become one.
+That is judged for each occurrence of an item (windows whose places are moved by nearly the
+same distance), so that a true copy isn't excused by a variant elsewhere in the document,
+and over the whole document, for copies that are torn apart.
 
 DataFrame functions only. The benchmark side is joined as a table; Spark broadcasts it
 where its size allows that, and else shuffles both sides by the window's hash.
@@ -13,17 +19,18 @@ where its size allows that, and else shuffles both sides by the window's hash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, whole_text
+from .common import save, small, whole_text
 
 WINDOW = 8
-#: (WINDOW is a power of two.)
 #: Share of an item's windows that a document must hold, and of its slots that must be replaced consistently.
 COVERAGE, AGREEMENT = 0.5, 0.75
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders, for windows that are compared as templates.
 LITERAL = 4
+#: Windows belong to one occurrence if their distances from the item's places differ by no more from one to the next.
+SLACK = 8
 #: Units of measure that count as such after a number.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "%", "percent", "dollars", "euros", "usd", "eur", "degrees", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres"]
 #: Signs that separate words wherever they stand.
@@ -72,34 +79,76 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     return _once(words, x=_kinds(F.col("w"), lambda w, kind: F.struct(w.alias("word"), kind.alias("kind")))).select("key", "x")
 
 
-def windows(rows: DataFrame, key: str, text: str, literal: bool = False) -> DataFrame:
-    """(key, n, at, h): the hash of each window of WINDOW template words, and its text's number of windows.
+def _elements(rows: DataFrame, key: str, text: str, exact: bool) -> DataFrame:
+    """(key, h): a hash for each word of the template, or with ``exact`` of the word itself in lower case."""
+    words = _once(rows.select(F.col(key).alias("key"), F.col(text).alias("__t")), w=words_of(whole_text("__t"))).select("key", "w")
+    make = (lambda w, kind: F.xxhash64(F.lit("="), F.lower(w))) if exact else (lambda w, kind: F.xxhash64(kind))
+    return _once(words, h=_kinds(F.col("w"), make)).select("key", "h")
+
 
-    Hashes are paired: those of two words give that of a window of two, those of two such windows that of four, and so
-    on, so a text of n words takes n steps for each doubling. A text of fewer words is one window; one without words
-    has none. With ``literal``, windows with too few words that aren't placeholders are left out.
+def _windowed(rows: DataFrame, base: str, sizes: list[int]) -> DataFrame:
+    """Columns ``base`` + size for each size: the hashes of all windows of so many elements of the array ``base``.
+
+    Hashes are paired: those of two elements give that of a window of two, those of two such windows that of four, and
+    so on; other sizes are put together from these.
     """
-    if literal:
-        made = _once(templates(rows, key, text), h=F.transform("x", lambda x: F.xxhash64(x["kind"])))
-    else:
-        words = _once(rows.select(F.col(key).alias("key"), F.col(text).alias("__t")), w=words_of(whole_text("__t"))).select("key", "w")
-        made = _once(words, h=_kinds(F.col("w"), lambda w, kind: F.xxhash64(kind))).select("key", "h")
-    made = made.where(F.size("h") > 0)
-    size, have = F.size("h"), 1
-    last = "h"
-    while have < WINDOW:
-        pair = F.zip_with(F.slice(last, 1, F.greatest(F.size(last) - have, F.lit(0))), F.slice(last, have + 1, F.greatest(F.size(last) - have, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        made = _once(made, **{f"h{have * 2}": pair})
-        have *= 2
-        last = f"h{have}"
-    n = F.greatest(size - WINDOW + 1, F.lit(1))
-    hashes = F.when(size >= WINDOW, F.col(last)).otherwise(F.array(F.xxhash64("h")))
-    out = made.select("key", n.alias("n"), *(["x"] if literal else []), F.posexplode(hashes).alias("at", "h"))
-    if literal:
-        part = F.slice("x", F.col("at") + 1, WINDOW)
-        enough = F.size(F.filter(part, lambda x: ~x["kind"].isin(NUM, UNIT, NAME))) >= F.least(F.lit(LITERAL), F.size("x"))
-        out = out.where(enough)
-    return out.select("key", "n", "at", "h")
+
+    def pair(a: str, b: str, at: int, n: Column) -> Column:
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, at + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    length = lambda k: F.greatest(F.size(base) - (k - 1), F.lit(0))
+    powers = [1]
+    names = {1: base}
+    while powers[-1] * 2 <= max(sizes):
+        k = powers[-1] * 2
+        rows = _once(rows, **{f"{base}{k}": pair(names[k // 2], names[k // 2], k // 2, length(k))})
+        names[k] = f"{base}{k}"
+        powers.append(k)
+    for k in sizes:
+        if k in names:
+            continue
+        parts = [p for p in reversed(powers) if k & p]
+        last, have = names[parts[0]], parts[0]
+        for p in parts[1:]:
+            name = f"{base}{k}_{have + p}" if have + p < k else f"{base}{k}"
+            rows = _once(rows, **{name: pair(last, names[p], have, length(have + p))})
+            last, have = name, have + p
+    return rows
+
+
+def windows(rows: DataFrame, key: str, text: str, sizes: list[int] | None = None, exact: bool = False) -> DataFrame:
+    """(key, size, at, h): the hash of each window of ``sizes`` template words; a text of fewer words has none."""
+    sizes = sizes or [WINDOW]
+    made = _windowed(_elements(rows, key, text, exact), "h", sizes)
+    name = lambda k: "h" if k == 1 else f"h{k}"
+    if len(sizes) == 1:
+        return made.select("key", F.lit(sizes[0]).alias("size"), F.posexplode(name(sizes[0])).alias("at", "h"))
+
+    def numbered(k: int) -> Column:
+        return F.transform(name(k), lambda h, i: F.struct(F.lit(k).alias("size"), i.alias("at"), h.alias("h")))
+
+    each = F.concat(*[numbered(k) for k in sizes])
+    return made.select("key", F.explode(each).alias("x")).select("key", "x.*")
+
+
+def asked(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, n, size, item_at, h, exact): the windows that documents are searched for, and each item's number of them."""
+    sizes = list(range(2, WINDOW + 1))
+    rows = templates(items, item_col, item_text)
+    rows = _once(rows, t=F.transform("x", lambda x: F.xxhash64(x["kind"])), e=F.transform("x", lambda x: F.xxhash64(F.lit("="), F.lower(x["word"]))))
+    rows = _windowed(_windowed(rows, "t", sizes), "e", sizes)
+    own = F.least(F.size("x"), F.lit(WINDOW))
+
+    def one(k: int) -> Column:
+        def window(h: Column, i: Column) -> Column:
+            literal = F.size(F.filter(F.slice("x", i + 1, k), lambda x: ~x["kind"].isin(NUM, UNIT, NAME)))
+            exact = literal < min(LITERAL, k)
+            return F.struct(F.lit(k).alias("size"), i.alias("item_at"), F.when(exact, F.get(f"e{k}", i)).otherwise(h).alias("h"), exact.alias("exact"))
+
+        return F.when(own == k, F.transform(f"t{k}", window))
+
+    each = F.coalesce(*[one(k) for k in sizes])
+    return rows.select(F.col("key").alias("item_id"), F.greatest(F.size("x") - (WINDOW - 1), F.lit(1)).alias("n"), F.explode(each).alias("w")).select("item_id", "n", "w.*").distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -107,38 +156,57 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text:
 
     ``n_windows`` counts the item's windows that the document holds, ``coverage`` is their share. Of the item's slots
     that matched windows show, ``n_slots`` is the number of different words and ``agreement`` the share of them that the
-    document replaces by one and the same word which stands for no other slot (1 where there are none). Null ids are
-    left out, null texts are empty; repeated rows count once.
+    document replaces by one and the same word which stands for no other slot (1 where there are none); both are those
+    of the best occurrence. ``contaminated``: an occurrence, or all that the document holds of the item, has enough of
+    its windows and slots. An item of a single word is not looked for. Null ids are left out, null texts are empty;
+    repeated rows count once.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
     items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), whole_text(item_text).alias("text"))
-    asked = windows(items, "item_id", "text", literal=True).select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "h", "n").distinct()
-    asked = save(asked, "benchmark")
-    hashes = asked.select("h").distinct()
-    seen = windows(docs, "doc_id", "text").select(F.col("key").alias("doc_id"), F.col("at").alias("doc_at"), "h").join(hashes, "h", "left_semi")
-    hits = save(seen.join(asked, "h").select("doc_id", "doc_at", "item_id", "item_at", "n").distinct(), "matches")
-    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.max("n").alias("n"))
+    wanted = save(asked(items), "benchmark")
+    # which lengths there are, of either kind: at most twice WINDOW
+    kinds = {(r.size, r.exact) for r in wanted.select("size", "exact").distinct().collect()}
+    seen = None
+    for exact in (False, True):
+        sizes = sorted(k for k, x in kinds if x == exact)
+        if sizes or not exact:
+            part = windows(docs, "doc_id", "text", sizes or [WINDOW], exact)
+            seen = part if seen is None else seen.union(part)
+    seen = seen.select(F.col("key").alias("doc_id"), F.col("at").alias("doc_at"), "size", "h").join(wanted.select("size", "h").distinct(), ["size", "h"], "left_semi")
+    hits = save(seen.join(wanted, ["size", "h"]).select("doc_id", "doc_at", "item_id", "item_at", "n", "size").distinct(), "matches")
+    shift = (F.col("doc_at") - F.col("item_at")).alias("shift")
+    pair = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    moved = hits.select("doc_id", "item_id", shift).distinct().withColumn("new", F.coalesce((F.col("shift") - F.lag("shift").over(pair) > SLACK).cast("int"), F.lit(1)))
+    occurrence = moved.withColumn("nth", F.sum("new").over(pair)).drop("new")
+    # each window counts for its occurrence, and for the whole document as number 0
+    every = hits.withColumn("shift", shift).join(occurrence, ["doc_id", "item_id", "shift"]).withColumn("nth", F.explode(F.array("nth", F.lit(0).cast("long"))))
+    every = save(every, "occurrences")
+    found = every.groupBy("doc_id", "item_id", "nth").agg(F.count_distinct("item_at").alias("n_windows"), F.max("n").alias("n"))
 
     # the slots of the texts that matched at all
     def slots(rows: DataFrame, key: str) -> DataFrame:
         made = templates(rows, key, "text").select(F.col("key").alias(key), F.posexplode("x").alias("place", "x"))
         return made.where(F.col("x.kind").isin(NUM, UNIT, NAME)).select(key, "place", F.col("x.kind").alias("kind"), F.lower("x.word").alias("word")).distinct()
 
-    of_item = slots(items.join(hits.select("item_id").distinct(), "item_id", "left_semi"), "item_id")
-    of_doc = slots(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    shown = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at").join(of_item, "item_id").where((F.col("place") >= F.col("item_at")) & (F.col("place") < F.col("item_at") + WINDOW))
-    shown = shown.select("doc_id", "item_id", "kind", F.col("word").alias("item_word"), (F.col("place") + F.col("shift")).alias("place")).distinct()
-    pairs = shown.join(of_doc, ["doc_id", "place", "kind"]).groupBy("doc_id", "item_id", "kind", "item_word", "word").agg(F.count(F.lit(1)).alias("c"))
-    once = pairs.groupBy("doc_id", "item_id", "kind", "item_word").agg(F.count(F.lit(1)).alias("k"), F.min("word").alias("word"))
-    used = once.groupBy("doc_id", "item_id", "kind", "word").agg(F.count(F.lit(1)).alias("slots"), F.sum((F.col("k") == 1).cast("int")).alias("single"))
-    agreed = used.groupBy("doc_id", "item_id").agg(F.sum("slots").alias("n_slots"), F.sum(F.when(F.col("slots") == 1, F.col("single")).otherwise(0)).alias("good"))
-    joined = found.join(agreed, ["doc_id", "item_id"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)).cast("long"))
+    of_item = slots(items.join(small(hits.select("item_id").distinct()), "item_id", "left_semi"), "item_id")
+    of_doc = slots(docs.join(small(hits.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
+    shown = every.select("doc_id", "item_id", "nth", "shift", "item_at", "size").join(of_item, "item_id").where((F.col("place") >= F.col("item_at")) & (F.col("place") < F.col("item_at") + F.col("size")))
+    shown = shown.select("doc_id", "item_id", "nth", "kind", F.col("word").alias("item_word"), (F.col("place") + F.col("shift")).alias("place")).distinct()
+    pairs = shown.join(of_doc, ["doc_id", "place", "kind"]).groupBy("doc_id", "item_id", "nth", "kind", "item_word", "word").agg(F.count(F.lit(1)).alias("c"))
+    once = pairs.groupBy("doc_id", "item_id", "nth", "kind", "item_word").agg(F.count(F.lit(1)).alias("k"), F.min("word").alias("word"))
+    used = once.groupBy("doc_id", "item_id", "nth", "kind", "word").agg(F.count(F.lit(1)).alias("slots"), F.sum((F.col("k") == 1).cast("int")).alias("single"))
+    agreed = used.groupBy("doc_id", "item_id", "nth").agg(F.sum("slots").alias("n_slots"), F.sum(F.when(F.col("slots") == 1, F.col("single")).otherwise(0)).alias("good"))
+    joined = found.join(agreed, ["doc_id", "item_id", "nth"], "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)).cast("long"))
     coverage, agreement = F.col("n_windows") / F.col("n"), F.when(F.col("n_slots") > 0, F.col("good") / F.col("n_slots")).otherwise(F.lit(1.0))
     made = joined.withColumn("coverage", F.round(coverage, 6)).withColumn("agreement", F.round(agreement, 6))
-    return made.select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "agreement", ((F.col("coverage") >= COVERAGE) & (F.col("agreement") >= AGREEMENT)).alias("contaminated"))
+    made = made.withColumn("bad", (F.col("coverage") >= COVERAGE) & (F.col("agreement") >= AGREEMENT))
+    whole = F.col("nth") == 0
+    best = F.max_by(F.struct("n_slots", "agreement"), F.struct("bad", "coverage", "agreement", "n_slots"))
+    out = made.groupBy("doc_id", "item_id").agg(F.max(F.when(whole, F.col("n_windows"))).alias("n_windows"), F.max(F.when(whole, F.col("coverage"))).alias("coverage"), best.alias("b"), F.bool_or("bad").alias("contaminated"))
+    return out.select("doc_id", "item_id", "n_windows", "coverage", "b.n_slots", "b.agreement", "contaminated")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
-    bad = matches(docs, items, id_col=id_col, **how).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    bad = save(matches(docs, items, id_col=id_col, **how).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(small(bad), F.col(id_col) == F.col("__bad"), "left_anti")

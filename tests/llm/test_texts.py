@@ -43,23 +43,29 @@ def template(text):
     return out
 
 
-def grams(text):
-    kinds = [k for k, _ in template(text)]
-    n = decontaminate.WINDOW
-    return [tuple(kinds[i : i + n]) for i in range(max(1, len(kinds) - n + 1))] if kinds else []
+def grams(text, n):
+    """Windows of n words: as templates, or word by word where there are too few that aren't placeholders."""
+    t = template(text)
+    out = []
+    for i in range(len(t) - n + 1):
+        part = t[i : i + n]
+        literal = sum(not (k.startswith("#") and len(k) > 1) for k, _ in part)
+        out.append(tuple(k for k, _ in part) if literal >= min(decontaminate.LITERAL, n) else ("=", *(w.lower() for _, w in part)))
+    return out
 
 
 def shared(docs, items):
     """(doc, item) -> (windows of the item that the document holds, coverage)."""
     asked = defaultdict(list)
     for i, t in items:
-        g = grams(t)
+        size = min(len(template(t)), decontaminate.WINDOW)
+        g = grams(t, size) if size > 1 else []
         for at, w in enumerate(g):
-            if sum(not x.startswith("#") or len(x) == 1 for x in w) >= min(decontaminate.LITERAL, len(template(t))):
-                asked[w].append((i, at, len(g)))
+            asked[w].append((i, at, len(g)))
+    sizes = {len(w) - (w[0] == "=") for w in asked}
     out = defaultdict(set)
     for d, t in docs:
-        for w in set(grams(t)):
+        for w in {w for n in sizes for w in grams(t, n)}:
             for i, at, n in asked.get(w, []):
                 out[d, i, n].add(at)
     return {(d, i): (len(x), round(len(x) / n, 6)) for (d, i, n), x in out.items()}
@@ -73,6 +79,58 @@ def test_windows_are_those_of_the_definition(spark, small):
     assert any(r.contaminated for r in rows)
 
 
+def test_short_and_dense_items_are_found_inside_documents(spark):
+    short = ["What is 12 plus 7?", "Maria bought 5 apples for 3 dollars.", "Blue whales", "seven red kites", "who wrote that old book", "name a river in Peru now"]
+    dense = "Add 12 34 56 78 90 11 13 17 and 19 to Berlin Paris Rome Oslo"
+    items = [(k, t) for k, t in enumerate([*short, dense, "word", "", None])]
+    docs = [(k, f"{CLEAN} {t} {CLEAN}") for k, t in enumerate([*short, dense])]
+    docs += [(50, f"{CLEAN} Maria bought 9 apples for 4 euros. {CLEAN}"), (51, f"{CLEAN} What is 13 plus 7? {CLEAN}"), (52, f"{CLEAN} {dense.replace('34', '35').replace('Rome', 'Bonn').replace('90', '91')}"), (53, CLEAN)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.matches(d, i).collect()
+    want = shared(docs, [x for x in items if x[1]])
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.coverage) for r in rows} == want
+    # sums with other numbers are other questions where hardly a word is left to tell
+    assert {(r.doc_id, r.item_id) for r in rows if r.contaminated} == {(k, k) for k in range(7)} | {(50, 1)}
+
+
+def slots_of(doc, item):
+    """Slots and agreement of the whole document's matches, plainly."""
+    a, b = template(item), template(doc)
+    n = decontaminate.WINDOW
+    seen = defaultdict(set)
+    for i, w in enumerate(grams(item, n)):
+        for j, v in enumerate(grams(doc, n)):
+            if w == v:
+                for k in range(n):
+                    kind, word = a[i + k]
+                    if kind.startswith("#") and len(kind) > 1:
+                        seen[kind, word.lower()].add(b[j + k][1].lower())
+    stands = Counter((k, min(v)) for (k, _), v in seen.items())
+    good = sum(len(v) == 1 and stands[k, min(v)] == 1 for (k, _), v in seen.items())
+    return len(seen), round(good / len(seen), 6)
+
+
+def test_slots_are_those_of_the_definition(spark):
+    import random
+
+    rng = random.Random(8)
+    names, numbers, units = ["Keller", "Moreau", "Brandt", "Silva", "Rossi"], ["24", "95", "7", "12", "3"], ["kg", "lb", "km"]
+    texts = []
+    for k in range(40):
+        words = ITEM.split()
+        for j, w in enumerate(words):
+            for group in (names, numbers, units):
+                if w in group and rng.random() < 0.5:
+                    words[j] = rng.choice(group)
+        texts.append((k, " ".join(words)))
+    rows = decontaminate.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        slots, agreement = slots_of(dict(texts)[r.doc_id], ITEM)
+        assert (r.n_slots, r.agreement) == (slots, agreement) and r.contaminated == (r.coverage >= 0.5 and agreement >= 0.75)
+    assert len({r.contaminated for r in rows}) == 2
+
+
 def test_reparameterised_items_are_found_and_inconsistent_ones_are_not(spark):
     around = lambda t: f"{CLEAN} {t} {CLEAN}"
     docs = spark.createDataFrame([(1, around(ITEM)), (2, around(OTHER)), (3, CLEAN), (4, None), (5, ""), (6, around(OTHER)), (None, ITEM), (6, around(OTHER)), (7, ITEM[: len(ITEM) // 4])], "doc_id long, text string")
@@ -85,13 +143,17 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_are_not(spark):
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 7]
     twice = spark.createDataFrame([(1, " ".join([ITEM, MIXED]))], "doc_id long, text string")
     both = decontaminate.matches(twice, items.where("item_id = 10")).collect()[0]
-    assert both.agreement < 0.75 and not both.contaminated
+    assert both.agreement == 1 and both.contaminated  # the copy isn't excused by the variant after it
+    mixed = decontaminate.matches(spark.createDataFrame([(1, f"{CLEAN} {MIXED}")], "doc_id long, text string"), items.where("item_id = 10")).collect()[0]
+    assert mixed.agreement < 0.75 and not mixed.contaminated
     assert decontaminate.matches(docs.where("false"), items).count() == 0 and decontaminate.matches(docs, items.where("false")).count() == 0
 
 
 def test_no_python_on_the_main_path(spark, small):
-    plan = decontaminate.windows(small("documents"), "doc_id", "text", literal=True)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    found = decontaminate.matches(small("documents"), small("benchmark"))
+    for made in (decontaminate.windows(small("documents"), "doc_id", "text"), decontaminate.asked(small("benchmark")), found):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def parse(data):
