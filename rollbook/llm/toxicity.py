@@ -1,25 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
-A document is cut into overlapping byte windows; each window is compressed with
-either dictionary, and the difference of the two lengths says which kind of text
-it resembles. The largest differences of a document go through a logistic
-calibration, which gives a probability.
-
-The ordinary dictionary is trained on windows of ordinary documents. Toxic documents
-are mostly ordinary text as well, so the toxic dictionary is trained on the words and
-beginnings of words of them that ordinary documents hardly have (of words in runs of
-letters, so in languages that put no spaces only what begins such a run); with the
-ordinary dictionary behind it, it compresses a window better only if the window has such
-text. Windows without any word that begins like one of these can't have a difference and
-aren't compressed at all.
-
-Fitting uses at most ``max_docs`` labelled documents of each class (chosen by a
-hash of the text). Scoring runs over every window of every text in Arrow batches.
+Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of
+toxic text. A document is cut into overlapping byte windows; every window is compressed
+with either dictionary, and the difference of the two lengths says which kind of text
+it resembles. The largest differences of a document go through a logistic calibration,
+which gives a probability.
+
+Toxic documents are mostly ordinary text as well, and what a dictionary trained on all of
+their windows would hold is ordinary text. So of the toxic documents those windows are
+learned from that begin where a sequence does which is far more frequent in them than in
+ordinary documents. The toxic dictionary has the ordinary one behind it, so that a window
+is compressed better by it only if it has something of that kind. The sequences serve
+to choose what is learned from; a score comes from the lengths alone.
+
+Fitting uses at most ``max_docs`` labelled documents of each class (chosen by a hash of the
+text) of at most ``MAX_CHARS`` characters, and at most ``TRAINED`` windows of ordinary text,
+chosen at random with a fixed seed: the driver holds them. Scoring runs over every window
+of every text in Arrow batches, so a very long text takes time, not memory.
 
 Nulls: a null text is empty; an empty text has no window and gets the score that
-the calibration gives to "no evidence". Labels that are null aren't learned from.
-Repeated rows are scored each by itself. Extra columns are kept.
+the calibration gives to "no evidence". Labels that are null aren't learned from; with no
+labelled rows, or an empty table, or one class only, the score is the share of toxic labels.
+Equal texts have equal scores, repeated rows each their own row. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -45,8 +47,10 @@ WINDOW, STEP = 32, 8
 #: Largest differences of a document that are looked at, and what counts as a large one.
 TOP, LARGE = 4, 3
 FEATURES = TOP + 3
-#: Bytes of each dictionary.
-DICT_BYTES = 16_384
+#: Bytes of the dictionaries of ordinary and of toxic text, and windows of ordinary text that are learned from at most.
+DICT_BYTES, TOXIC_BYTES, TRAINED = 32_768, 2_048, 60_000
+#: Bytes of the toxic windows that are learned from, and of the segments and sequences that the trainer counts in them.
+SPAN, SEGMENT, SEQUENCE = 14, 16, 6
 #: Labelled documents of each class that are fitted on at most, and the longest of them in characters.
 MAX_DOCS, MAX_CHARS = 2_500, 60_000
 THRESHOLD = 0.7
@@ -55,59 +59,37 @@ MATCH = 4
 #: What a trained dictionary has just before its content: the first three offsets.
 OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 #: Only matches of MATCH bytes or more count: shorter ones are in any text of the language.
-PARAMETERS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=MATCH, target_length=0, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-#: A beginning of a word trains the toxic dictionary if its rate among toxic documents is, ERRORS standard errors taken off,
+PARAMETERS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=1, min_match=MATCH, target_length=0, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+#: A beginning of a word tells of toxic text if its rate among toxic documents is, ERRORS standard errors taken off,
 #: so many times that among ordinary ones, and so high at least.
 RATIO, LEAST, ERRORS = 4.0, 0.015, 1.5
 WORD = re.compile(r"[^\W\d_]+")
+OTHER = re.compile(r"[\W\d_]")
 #: Bytes, the space before it included, that a beginning has at least, and characters that it has at most.
 HEAD, LONGEST = 5, 12
-#: Every ASCII character that is no letter becomes a space: a word begins after one.
+#: Every ASCII character that is no letter becomes a space.
 PLAIN = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def _heads(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin (at the space before them), and a number below 2**20 for the HEAD bytes from there."""
-    at = np.flatnonzero(data[: max(len(data) - HEAD + 1, 0)] == 32)
-    h = np.zeros(len(at), np.uint32)
-    for k in range(HEAD):
-        h = h * np.uint32(0x9E3779B1) + data[at + k]
-    return at, (h ^ (h >> np.uint32(15))) & np.uint32(0xFFFFF)
-
-
 def _plain(text: str) -> bytes:
-    return b" " + text.lower().encode("utf-8", "replace").translate(PLAIN) + b" " if text else b""
-
+    """In lower case, everything but letters as a space."""
+    if not text:
+        return b""
+    low = text.lower()
+    low = low.encode().translate(PLAIN) if low.isascii() else OTHER.sub(" ", low).encode("utf-8", "replace")
+    return b" " + low + b" "
 
-def _cut(texts: list[str], sieve: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of the texts: the joined bytes, (offset, length) of each, its text's number, and each text's count of windows.
 
-    With a ``sieve`` only windows with the first bytes of a telling beginning are cut out: in the others the toxic
-    dictionary offers no match that ordinary text doesn't have as well, and their difference counts as none.
-    """
+def _cut(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the texts: the joined bytes, (offset, length) of each, its text's number, and each text's count of windows."""
     raw = [_plain(t) for t in texts]
-    data = b"".join(raw)
     size = np.array([len(x) for x in raw], dtype=np.int64)
     base = np.cumsum(size) - size
     count = np.where(size > 0, np.maximum(-(-(size - WINDOW) // STEP), 0) + 1, 0)
-    if sieve is None:
-        owner = np.repeat(np.arange(len(raw)), count)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    else:
-        at, head = _heads(np.frombuffer(data, np.uint8))
-        at = at[sieve[head]]
-        own = np.searchsorted(base + size, at, side="right")
-        place = at - base[own]
-        inside = place + HEAD <= size[own]
-        own, place = own[inside], place[inside]
-        last = np.minimum(place // STEP, count[own] - 1)
-        first = np.maximum(-(-(place + HEAD - WINDOW) // STEP), 0)
-        spread = np.maximum(last - first + 1, 0)
-        pair = np.unique(np.repeat(own, spread) << 32 | (np.repeat(first, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)))
-        owner, number = pair >> 32, pair & 0xFFFFFFFF
-    start = number * STEP
+    owner = np.repeat(np.arange(len(raw)), count)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STEP
     segments = np.stack([base[owner] + start, np.minimum(size[owner] - start, WINDOW)], axis=1).astype(np.uint64)
-    return data, segments, owner, count
+    return b"".join(raw), segments, owner, count
 
 
 def _lengths(data: bytes, segments: np.ndarray, dictionary: bytes) -> np.ndarray:
@@ -125,13 +107,13 @@ def _lengths(data: bytes, segments: np.ndarray, dictionary: bytes) -> np.ndarray
     return np.concatenate(out)
 
 
-def _train(samples: list[bytes]) -> bytes:
+def _train(samples: list[bytes], size: int, **how) -> bytes:
     """The content of a trained zstandard dictionary, without its header; where there is too little text to train one, the text itself."""
     try:
-        made = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        made = zstandard.train_dictionary(size, samples, **how).as_bytes()
         return made.partition(OFFSETS)[2] or made
     except zstandard.ZstdError:
-        return b" ".join(samples)[-DICT_BYTES:].rjust(16, b" ")
+        return b" ".join(samples)[-size:].rjust(16, b" ")
 
 
 def _unlike(texts: list[str]) -> np.ndarray:
@@ -158,7 +140,7 @@ def _beginnings(text: str) -> set[str]:
 
 
 def _telling(texts: list[str], labels: np.ndarray) -> list[bytes]:
-    """Beginnings of words that are far more often in toxic than in ordinary documents: what the toxic dictionary is trained on."""
+    """Beginnings of words that are far more often in toxic than in ordinary documents."""
     n = np.maximum(np.bincount(labels, minlength=2), 1)
     toxic = Counter()
     for t, c in zip(texts, labels, strict=True):
@@ -170,15 +152,15 @@ def _telling(texts: list[str], labels: np.ndarray) -> list[bytes]:
         if not c:
             ordinary.update(toxic.keys() & _beginnings(t))
     low = {w: np.log((k + 0.5) / n[1]) - np.log((ordinary[w] + 0.5) / n[0]) - ERRORS * np.sqrt(1 / (k + 0.5) + 1 / (ordinary[w] + 0.5)) for w, k in toxic.items()}
-    return [w.encode() for w in sorted(low, key=lambda w: (toxic[w], w)) if low[w] >= np.log(RATIO)]
+    return sorted(w.encode() for w in low if low[w] >= np.log(RATIO))
 
 
-def _sieve(words: list[bytes]) -> np.ndarray:
-    """The numbers of the first bytes of the telling beginnings."""
-    own = np.zeros(1 << 20, bool)
-    for w in words:
-        own[_heads(np.frombuffer(w[:HEAD], np.uint8))[1]] = True
-    return own
+def _windows_from(texts: list[str], begins: list[bytes]) -> list[bytes]:
+    """The windows of SPAN bytes of the texts that begin with one of these."""
+    if not begins:
+        return []
+    any_of = re.compile(b"|".join(re.escape(w) for w in sorted(begins, key=len, reverse=True)))
+    return [data[m.start() : m.start() + SPAN] for data in map(_plain, texts) for m in any_of.finditer(data)]
 
 
 def _features(gain: np.ndarray, owner: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -201,16 +183,23 @@ def _features(gain: np.ndarray, owner: np.ndarray, windows: np.ndarray) -> np.nd
 @dataclass
 class ToxicityModel:
     ordinary: bytes
-    telling: bytes
-    sieve: np.ndarray
+    toxic: bytes
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def features(self, texts: list[str]) -> np.ndarray:
-        data, segments, owner, windows = _cut(texts, self.sieve)
-        gain = _lengths(data, segments, self.ordinary) - _lengths(data, segments, self.telling + self.ordinary)
-        return _features(gain, owner, windows)
+        """In groups of texts of a few MB, so that windows don't add up to more than memory holds."""
+        out, group, size = [np.zeros((0, FEATURES))], [], 0
+        for k, t in enumerate(texts):
+            group.append(t)
+            size += len(t)
+            if size > 4_000_000 or k == len(texts) - 1:
+                data, segments, owner, windows = _cut(group)
+                gain = _lengths(data, segments, self.ordinary) - _lengths(data, segments, self.toxic + self.ordinary)
+                out.append(_features(gain, owner, windows))
+                group, size = [], 0
+        return np.concatenate(out)
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = (self.features(texts) - self.mean) / self.scale
@@ -233,15 +222,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _dictionaries(model: ToxicityModel, texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> None:
-    """Train the model's dictionaries. Telling beginnings that the trainer passes over are put before what it has chosen."""
-    data, segments, _, _ = _cut([t for t, c in zip(texts, labels, strict=True) if c == 0])
-    rows = rng.permutation(len(segments))[:40_000]
-    model.ordinary = _train([data[int(o) : int(o + n)] for o, n in segments[rows]])
-    words = _telling(texts, labels)
-    if words:
-        made = _train(words * max(1, 2000 // len(words)))
-        model.telling = b"".join(w for w in words if w not in made)[-DICT_BYTES:] + made
-        model.sieve = _sieve(words)
+    """Train the model's dictionaries on windows of either class."""
+    toxic = [t for t, c in zip(texts, labels, strict=True) if c]
+    data, segments, _, _ = _cut([t for t, c in zip(texts, labels, strict=True) if not c])
+    rows = rng.permutation(len(segments))[:TRAINED]
+    model.ordinary = _train([data[int(o) : int(o + n)] for o, n in segments[rows]], DICT_BYTES, k=64, d=8)
+    samples = _windows_from(toxic, _telling(texts, labels))
+    model.toxic = _train(samples, TOXIC_BYTES, k=SEGMENT, d=SEQUENCE) if samples else b""
 
 
 def fit_texts(texts: list[str], labels: np.ndarray, seed: int = 7) -> ToxicityModel:
@@ -249,7 +236,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, seed: int = 7) -> ToxicityMo
     labels = np.asarray(labels, dtype=np.int64)
     keep = _unlike(texts)
     texts, labels = [t for t, k in zip(texts, keep, strict=True) if k], labels[keep]
-    model = ToxicityModel(b" " * 16, b"", np.zeros(1 << 20, bool), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    model = ToxicityModel(b" " * 16, b"", np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     if not len(texts) or labels.min() == labels.max():
         rate = float(labels.mean()) if len(labels) else 0.0
         model.weights[0] = np.log((rate + 0.01) / (1.01 - rate))
@@ -261,7 +248,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, seed: int = 7) -> ToxicityMo
         half[rng.permutation(own)[: (len(own) + 1) // 2]] = True
     x = np.zeros((len(texts), FEATURES))
     for h in (half, ~half) if (~half).any() else ():
-        part = ToxicityModel(model.ordinary, model.telling, model.sieve, model.mean, model.scale, model.weights)
+        part = ToxicityModel(model.ordinary, model.toxic, model.mean, model.scale, model.weights)
         _dictionaries(part, [t for t, own in zip(texts, h, strict=True) if own], labels[h], rng)
         x[~h] = part.features([t for t, own in zip(texts, h, strict=True) if not own])
     _dictionaries(model, texts, labels, rng)

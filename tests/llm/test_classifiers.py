@@ -58,3 +58,19 @@ def test_toxic_words_count_at_the_end_of_a_long_text(small):
     plain = next(r.text for r in rows if not toxic[r.doc_id] and model.score([r.text])[0] < 0.3)
     bad = next(r.text for r in rows if toxic[r.doc_id] and model.score([r.text])[0] > 0.7)
     assert model.score([plain * 50 + " " + bad])[0] > model.score([plain * 50])[0]
+
+
+def test_toxic_words_behind_any_sign_count(small):
+    toxic = {r.doc_id: r.toxic for r in small("documents").sparkSession.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
+    rows = [r for r in small("documents").sparkSession.read.parquet(f"{MEDIUM}/documents.parquet").collect() if r.text and toxic.get(r.doc_id) is not None][:2000]
+    model = toxicity.fit_texts([r.text for r in rows], np.array([toxic[r.doc_id] for r in rows]))
+    plain = next(r.text for r in rows if not toxic[r.doc_id] and len(r.text) > 1000 and model.score([r.text])[0] < 0.3)[:1000]
+    score = lambda t: float(model.score([t])[0])
+    bad = [w.decode().strip() for w in toxicity._telling([r.text for r in rows], np.array([toxic[r.doc_id] for r in rows])) if len(w) > 6]
+    spread = lambda mark: "".join(f"{plain[k * 40 : k * 40 + 40]} {mark}{w} " for k, w in enumerate(bad[:20]))
+    base = score(spread(" "))
+    for mark in ("\u201c", "\u00ab", "\u00bf", "\u2014", "\u00a0", "("):
+        assert abs(score(spread(mark)) - base) < 1e-9
+    # every window is compressed, so the dictionary decides: without the toxic one there is no evidence
+    gone = toxicity.ToxicityModel(model.ordinary, b"", model.mean, model.scale, model.weights)
+    assert gone.score([spread(" ")])[0] < base
