@@ -60,7 +60,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.derive(warc.responses(load(spark, sf_dir, "pages")))
+    path = new_path(spark, "responses")
+    warc.write(warc.responses(load(spark, sf_dir, "pages")), path)
+    records = warc.derive(warc.read(spark, path)).withColumn("page_id", F.col("page_id").cast("long"))
     return records.withColumn("n_bytes", F.octet_length("record").cast("long")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 

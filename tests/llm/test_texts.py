@@ -171,38 +171,113 @@ def parse(data):
     return out
 
 
-def test_warc_files_read_back(spark, small, new_folder):
+def sha1(b):
+    return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+
+def plainly(page):
+    """The text of a page by the library's parser."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        out, skip = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in warc.SILENT
+            self.out += "\n" * (tag in warc.BREAKS)
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in warc.SILENT and self.skip > 0
+            self.out += "\n" * (tag in warc.BREAKS)
+
+        def handle_data(self, data):
+            self.out += data * (not self.skip)
+
+    made = Text(convert_charrefs=True)
+    made.feed(page)
+    made.close()
+    return [" ".join(x.split()) for x in made.out.split("\n") if x.split()]
+
+
+@pytest.mark.parametrize("compression", [None, "gzip"])
+def test_warc_files_read_back(spark, small, new_folder, compression):
     import glob
 
     pages = {r.page_id: r for r in small("pages").collect()}
-    rows = warc.derive(warc.responses(small("pages")))
+    warc.write(warc.responses(small("pages"), date="2024-05-06T07:08:09Z"), f"file://{new_folder}/in", compression)
+    rows = warc.derive(warc.read(spark, f"file://{new_folder}/in"))
     warc.write(rows, f"file://{new_folder}/w")
     found = [x for f in glob.glob(f"{new_folder}/w/part-*") for x in parse(open(f, "rb").read())]
     assert len(found) == 2 * len(pages)
     by_id = {h["WARC-Record-ID"]: (h, b) for h, b in found}
     assert len(by_id) == len(found)
-    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
     for r in rows.collect():
         h, block = by_id[r.record_id]
-        page = pages[r.page_id]
-        assert h["WARC-Refers-To"] == r.refers_to and h["WARC-Type"] == r.type and h["WARC-Target-URI"] == page.url
-        assert h["WARC-Block-Digest"] == sha1(block) == r.block_digest
-        assert h["WARC-Refers-To-Payload-Digest"] == sha1((page.html or "").encode()) == r.payload_digest
+        page = pages[int(r.page_id)]
+        payload = (page.html or "").encode()
+        assert h["WARC-Refers-To"] == r.refers_to and h["WARC-Type"] == r.type and h["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] == page.url
+        assert h["WARC-Refers-To-Date"] == "2024-05-06T07:08:09Z"
+        assert h["WARC-Block-Digest"] == sha1(block) == r.block_digest and r.payload_digest == sha1(payload)
         if r.type == "conversion":
-            assert block.decode() == warc.plain_text(page.html or "")
+            assert [" ".join(x.split()) for x in block.decode().split("\n") if x.split()] == plainly(page.html or "")
         else:
             fields = dict(x.split(": ", 1) for x in block.decode().splitlines() if ": " in x)
-            assert by_id[fields["conversion-record"]][0]["WARC-Refers-To"] == r.refers_to and fields["http-content-type"].startswith("text/html")
-
-
-def test_warc_of_odd_rows(spark):
+            assert by_id[fields["conversion-record"]][0]["WARC-Refers-To"] == r.refers_to == fields["source-warc-record-id"]
+            assert fields["http-content-type"].startswith("text/html") and fields["http-status"] == "HTTP/1.1 200 OK"
+            assert fields["source-payload-digest"] == sha1(payload) and int(fields["http-content-length"]) == len(payload)
+
+
+def test_warc_records_of_others(spark, new_folder):
+    """Headers, digests, character sets and codings as a crawler writes them, record by record compressed; and blocks that hold the records' first line."""
+    import gzip
+
+    def made(kind, number, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{number}>", "WARC-Date": "2020-01-02T03:04:05Z", "WARC-Target-URI": f"http://h/{number}"} | more
+        return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Long: a\r\n b\r\n\r\n"
+    packed = gzip.compress("<p>packed é</p>".encode())
+    tricky = b"<p>one</p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nno WARC/1.1\r\n<p>two</p>"
+    records = [made("warcinfo", 0, b"software: x\r\n"), made("response", 1, http + "<title>Caf\u00e9</title><a href='/x'>l</a>".encode("latin-1"), **{"WARC-Payload-Digest": "sha1:STATED"}), made("request", 2, b"GET / HTTP/1.1\r\n\r\n"),
+               made("response", 3, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + packed), made("response", 4, b"HTTP/1.1 200 OK\r\n\r\n" + tricky), made("response", 5, b"")]
+    for name, data in (("a.warc", b"".join(records)), ("b.warc.gz", b"".join(map(gzip.compress, records)))):
+        with open(f"{new_folder}/{name}", "wb") as out:
+            out.write(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for name, split in (("a.warc", 1 << 20), ("b.warc.gz", 1 << 20), ("a.warc", 700), ("a.warc", 300), ("a.warc", 64)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = {(r.refers_to, r.type): r for r in warc.derive(warc.read(spark, f"file://{new_folder}/{name}")).collect()}
+            assert {k[10:-1] for k, _ in rows} == {"1", "3", "4", "5"} and len(rows) == 8, (name, split)
+            text = {k[10:-1]: parse(r.record + b"\r\n\r\n")[0][1].decode() for (k, t), r in rows.items() if t == "conversion"}
+            assert text["1"] == "Caf\u00e9\nl" and text["3"] == "packed \u00e9" and text["5"] == ""
+            assert text["4"].split() == "one WARC/1.1 WARC-Type: response Content-Length: 3 no WARC/1.1 two".split()
+            about = parse(rows["<urn:uuid:1>", "metadata"].record + b"\r\n\r\n")[0][1].decode().splitlines()
+            assert "source-payload-digest: sha1:STATED" in about and "http-status: HTTP/1.1 404 Not Found" in about and "http-x-long: a b" in about and "outlink: /x" in about and "title: Caf\u00e9" in about
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_warc_of_odd_rows(spark, new_folder):
     rows = [(1, None, None), (2, "http://a/\r\nX: y", "<p>a<script>no</script>b</p>"), (2, "http://a/", ""), (None, "u", "<title>T</title>&amp; é"), (3, "u", "<p>x</p>" * 50_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS record_id", "'d' AS date", "2 AS payload")
-    made = warc.derive(warc.responses(pages)).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS record_id", "'d' AS date", "2 AS payload", "'c' AS record")
+    warc.write(warc.responses(pages), f"file://{new_folder}/in")
+    made = warc.derive(warc.read(spark, f"file://{new_folder}/in")).collect()
     assert len(made) == 10 and Counter(r.type for r in made) == {"metadata": 5, "conversion": 5}
     assert all(b"\r\nX: y" not in r.record.split(b"\r\n\r\n")[0] for r in made)
-    assert warc.derive(warc.responses(pages.where("false"))).count() == 0
-    assert warc.plain_text("<p>a<script>no</script>b</p>c") == "ab\nc"
+    assert warc.derive(spark.createDataFrame([(None, None)], "headers string, block binary")).count() == 0
+    assert warc.responses(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<a ", "<html ", "<", "<a href='", "<title>", "</script", "&", "<p", "a<b "])
+def test_pages_without_ends_take_no_longer(part):
+    import time
+
+    began = time.perf_counter()
+    warc.scanned(part * (2_000_000 // len(part)))
+    assert time.perf_counter() - began < 5
+    assert warc.plain_text("<p>a<script>no</script>b</p>c 1 < 2") == "ab\nc 1 < 2"
 
 
 def cut_words(texts, n=51):
