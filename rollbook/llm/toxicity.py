@@ -67,6 +67,7 @@ WORD = re.compile(r"[^\W\d_]+")
 OTHER = re.compile(r"[\W\d_]")
 #: Bytes, the space before it included, that a beginning has at least, and characters that it has at most.
 HEAD, LONGEST = 5, 12
+BUCKETS = 1 << 20
 #: Every ASCII character that is no letter becomes a space.
 PLAIN = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -128,7 +129,7 @@ def _unlike(texts: list[str]) -> np.ndarray:
     return keep
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _heads_of(word: str) -> tuple[str, ...]:
     whole = f" {word} "
     return tuple(whole[:k] for k in range(3, min(len(whole), LONGEST) + 1) if len(whole[:k].encode()) >= HEAD)
@@ -142,11 +143,18 @@ def _beginnings(text: str) -> set[str]:
 def _telling(texts: list[str], labels: np.ndarray) -> list[bytes]:
     """Beginnings of words that are far more often in toxic than in ordinary documents."""
     n = np.maximum(np.bincount(labels, minlength=2), 1)
+    least = max(3, LEAST * n[1])
+    # counts by bucket first, as nearly all beginnings are too rare and needn't be held
+    buckets = np.zeros(BUCKETS, np.int32)
+    for t, c in zip(texts, labels, strict=True):
+        if c:
+            buckets[np.unique(np.fromiter((hash(w) % BUCKETS for w in _beginnings(t)), np.int64))] += 1
+    often = (buckets >= least).tolist()
     toxic = Counter()
     for t, c in zip(texts, labels, strict=True):
         if c:
-            toxic.update(_beginnings(t))
-    toxic = {w: k for w, k in toxic.items() if k >= max(3, LEAST * n[1])}
+            toxic.update(w for w in _beginnings(t) if often[hash(w) % BUCKETS])
+    toxic = {w: k for w, k in toxic.items() if k >= least}
     ordinary = Counter()
     for t, c in zip(texts, labels, strict=True):
         if not c:
