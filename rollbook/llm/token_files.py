@@ -1,6 +1,6 @@
 """Token ids in Parquet files that allow selective reads.
 
-Rows lie in ascending id order, over the files as within them. ``tokens`` is a list
+Rows lie in ascending id order, over the files' ``part`` numbers as within them. ``tokens`` is a list
 column whose ids are dictionary encoded (or, with ``delta``, delta packed), beside a
 few narrow columns; row groups and pages are kept small enough that a reader which
 asks for one range of ids, or for the counts alone, touches little else. Page indexes
@@ -24,9 +24,10 @@ PAGE_ROWS = 5_000
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text: str = "text", delta: bool = False) -> None:
-    """Encode every text, add ``end_id``, and write (doc_id, file_start, n_tokens, tokens) sorted by id.
+    """Encode every text, add ``end_id``, and write (doc_id, part, part_start, n_tokens, tokens) sorted by id.
 
-    ``file_start`` counts the ids of the file's documents before this one. A null text is empty; null ids come first;
+    ``part`` numbers the range of ids, whatever the files are called and however many a range is written to, and
+    ``part_start`` counts the ids of the part's documents before this one. A null text is empty; null ids come first;
     rows with the same id follow each other in the order of their texts.
     """
     spark = docs.sparkSession
@@ -34,7 +35,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_co
     kind = docs.schema[id_col].dataType
 
     def run(batches):
+        from pyspark import TaskContext
+
         made = tokenizer(tokenizer_path)
+        part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         before = 0
         for batch in batches:
@@ -42,12 +46,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_co
             n = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(n)])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + offsets[:-1]), pa.array(n), lists], names=["doc_id", "file_start", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before + offsets[:-1]), pa.array(n), lists], names=["doc_id", "part", "part_start", "n_tokens", "tokens"])
             before += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("file_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     out = rows.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
     if delta:
         out = out.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#tokens.list.element", "false")
@@ -57,15 +61,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_co
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, tokens): ``start`` counts the ids of all documents before.
 
-    The files' totals (a row a file, so at most as many as there were write tasks) give each file its start; only the
+    The parts' totals (a row a part, so at most as many as there were write tasks) give each part its start; only the
     narrow columns are read for them.
     """
-    rows = spark.read.parquet(path).withColumn("__file", F.col("_metadata.file_name"))
-    totals = rows.groupBy("__file").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    joined = rows.join(F.broadcast(starts), "__file")
-    return joined.select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "tokens")
+    rows = spark.read.parquet(path)
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    joined = rows.join(F.broadcast(starts), "part")
+    return joined.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 
 def checksums(rows: DataFrame) -> DataFrame:

@@ -135,3 +135,16 @@ def test_plans_place_every_piece(lengths):
 def test_exact_complements_are_used():
     plan = packing.Plan({40: 2, 10: 1, 4: 1, 6: 1, 20: 3, 30: 1, 15: 2}, 50)
     assert all(sum(group) == 50 for _, _, group in plan.groups[:-1]) and plan.sequences == 5
+
+
+def test_token_file_starts_do_not_hang_on_files(spark, small, path, encode):
+    """Several files a part, whose names don't come in order."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        rows = token_files.written(small("documents"), path, end_id=2).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    start = 0
+    for r in rows:
+        assert r.start == start and r.n_tokens == len(r.tokens)
+        start += r.n_tokens
