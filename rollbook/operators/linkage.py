@@ -65,12 +65,12 @@ def amount_proximity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit(0)) == 0) | (F.coalesce(b, F.lit(0)) == 0), None).when(ratio <= 1.1, 1.0).when(ratio >= 10, 0.0).otherwise(1 - (ratio - 1.1) / 8.9)
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, root): the smallest node that is reachable over the pairs (a, b). Labels jump along their own pointers each round."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that is reachable over the pairs (a, b). Labels jump along their own pointers each round, until none moves."""
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).where("a != b").distinct()
     labels = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     edges, before = edges.checkpoint(), None
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         moved = labels.join(near, labels.node == near.a).select("node", F.least("root", "m").alias("root"))
         up = moved.select(F.col("node").alias("n"), F.col("root").alias("r"))
@@ -108,13 +108,13 @@ def geocode(places: DataFrame, gazetteer: DataFrame, threshold: float = 0.55) ->
 
 
 def keyword_windows(docs: DataFrame, id_col: str, text: str, word: str, before: int, after: int) -> DataFrame:
-    """(id, start, end): stretches around each hit of a word (in any case), touching ones merged; counted from 0."""
-    low = F.lower(text)
-    hits = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.length(text).alias("n"), F.split(low, word, -1).alias("parts"))
-    sizes = F.transform("parts", lambda p: F.length(p))
-    at = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda s, x: s + x) + (i - 1) * len(word))
-    spread = hits.where(F.size("parts") > 1).withColumn("sizes", sizes).select("id", "n", F.explode(at).alias("p"))
-    w = Window.partitionBy("id").orderBy("p")
-    spans = spread.select("id", "p", F.greatest(F.col("p") - before, F.lit(0)).alias("s"), F.least(F.col("p") + after, F.col("n")).alias("e"))
+    """(id, start, end): stretches around each hit of a word (in any case, taken literally), touching ones merged; counted from 0. Null texts have none."""
+    literal = r"\Q" + word.lower().replace(r"\E", r"\E\\E\Q") + r"\E"
+    rows = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.length(text).alias("n"), F.split(F.lower(text), literal, -1).alias("parts"))
+    parts = rows.where(F.size("parts") > 1).select("row", "id", "n", F.size("parts").alias("k"), F.posexplode("parts").alias("nth", "part"))
+    w = Window.partitionBy("row").orderBy("nth")
+    hits = parts.select("row", "id", "n", "k", "nth", (F.sum(F.length("part")).over(w) + F.col("nth") * len(word)).alias("p")).where("nth < k - 1")
+    spans = hits.select("row", "id", "nth", F.greatest(F.col("p") - before, F.lit(0)).alias("s"), F.least(F.col("p") + after, F.col("n")).alias("e"))
     new = (F.col("s") > F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
-    return spans.withColumn("new", F.coalesce(new, F.lit(1))).withColumn("island", F.sum("new").over(w)).groupBy("id", "island").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("island")
+    islands = spans.withColumn("new", F.coalesce(new, F.lit(1))).withColumn("island", F.sum("new").over(w))
+    return islands.groupBy("row", "island").agg(F.first("id").alias("id"), F.min("s").alias("start"), F.max("e").alias("end")).select("id", "start", "end")
