@@ -164,7 +164,7 @@ def lot_heading(text, lot, position=None) -> Column:
         begin = F.greatest(_col(position) - REACH, F.lit(0))
         whole = F.when(_col(position).isNull(), whole).otherwise(F.substring(whole, begin + 1, F.least(_col(position), F.lit(REACH))))
     pattern = F.concat(F.lit(r"(?isU)lot\s*(?:n\s*[°ºo]\s*)?0*"), _col(lot).cast("string"), F.lit(r"\s*[:\-–—]\s*(.{15,300}?)(?=\n\s*\d+\s*[.\)]|\nlot\s|\n\s*\n|\z)"))
-    found = F.transform(F.regexp_extract_all(whole, pattern, F.lit(1)), lambda x: _strip(_cut_at(F.regexp_replace(x, r"(?U)\s+", " "), TABLE, -1), r" .:\-–—;,"))
+    found = F.transform(F.regexp_extract_all(whole, pattern, F.lit(1)), lambda x: _strip(_cut_at(F.regexp_replace(x, r"(?U)\s+", " "), TABLE, 0), r" .:\-–—;,"))
     found = F.filter(found, acceptable_object)
     longest = F.get(F.sort_array(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), F.lit(0))["x"]
     last = F.try_element_at(found, F.lit(-1))

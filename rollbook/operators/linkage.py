@@ -18,22 +18,35 @@ def _prefixes(grams: DataFrame, threshold: float, frequency: DataFrame) -> DataF
 def trigram_join(left: DataFrame, right: DataFrame | None, id_col: str, text: Column, threshold: float) -> DataFrame:
     """(a, b, similarity) of all pairs whose trigram similarity reaches the threshold; of one table each pair once, a < b.
 
-    Records are compared only if they share one of their rarest trigrams (prefix filter) and their sizes are near
-    enough; both are necessary for the threshold, so no pair is lost. Repeated ids and null texts are left out.
+    Names are compared, each different one once (by its set of trigrams); records take their names' pairs. Names are compared
+    only if they share one of their rarest trigrams (prefix filter) and their sizes are near enough; both are necessary for
+    the threshold, so no pair is lost. Null ids and texts without trigrams are left out.
     """
-    a = left.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), trigrams(text).alias("g")).where(F.size("g") > 0)
-    b = a if right is None else right.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), trigrams(text).alias("g")).where(F.size("g") > 0)
-    both = a if right is None else a.union(b)
-    frequency = both.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    pa, pb = _prefixes(a, threshold, frequency).alias("p"), _prefixes(b, threshold, frequency).alias("q")
+
+    def named(df: DataFrame) -> DataFrame:
+        rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("record"), trigrams(text).alias("g")).where(F.size("g") > 0)
+        return rows.withColumn("id", F.md5(F.array_join(F.array_sort("g"), "|")))
+
+    def names(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.first("g").alias("g"))
+
+    a = named(left)
+    b = a if right is None else named(right)
+    na, nb = names(a), names(b)
+    frequency = (na if right is None else na.union(nb)).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    pa, pb = _prefixes(na, threshold, frequency).alias("p"), _prefixes(nb, threshold, frequency).alias("q")
     near = (F.col("p.gram") == F.col("q.gram")) & (F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * threshold)
     if right is None:
-        near = near & (F.col("p.id") < F.col("q.id"))
-    pairs = pa.join(pb, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    found = pairs.join(a.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(b.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    found = found.withColumn("i", shared).withColumn("u", F.size("ga") + F.size("gb") - F.col("i"))
-    return found.where(F.col("i") >= F.col("u") * threshold).select("a", "b", F.round(F.col("i") / F.col("u"), 4).alias("similarity"))
+        near = near & (F.col("p.id") <= F.col("q.id"))
+    pairs = pa.join(pb, near).select(F.col("p.id").alias("na"), F.col("q.id").alias("nb")).distinct()
+    found = pairs.join(na.select(F.col("id").alias("na"), F.col("g").alias("ga")), "na").join(nb.select(F.col("id").alias("nb"), F.col("g").alias("gb")), "nb")
+    found = found.withColumn("i", F.size(F.array_intersect("ga", "gb"))).withColumn("u", F.size("ga") + F.size("gb") - F.col("i"))
+    found = found.where(F.col("i") >= F.col("u") * threshold).select("na", "nb", F.round(F.col("i") / F.col("u"), 4).alias("similarity"))
+    both = found.join(a.select(F.col("id").alias("na"), F.col("record").alias("a")), "na").join(b.select(F.col("id").alias("nb"), F.col("record").alias("b")), "nb")
+    if right is None:
+        both = both.where((F.col("na") != F.col("nb")) | (F.col("a") < F.col("b"))).where("a != b")
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return both.select("a", "b", "similarity")
 
 
 def idf(pieces: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -65,6 +78,36 @@ def amount_proximity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit(0)) == 0) | (F.coalesce(b, F.lit(0)) == 0), None).when(ratio <= 1.1, 1.0).when(ratio >= 10, 0.0).otherwise(1 - (ratio - 1.1) / 8.9)
 
 
+#: A common word must be at least so rare for a pair to count in full: one in some 67 pieces has it.
+TELLING = 4.1997050778799272
+#: What a pair without such a word, an amount that fits, dates out of order and sectors are worth.
+COMMON, AMOUNT, REVERSED, SAME, OTHER = 0.6, 0.15, 0.10, 0.05, 0.10
+
+
+def project_scores(pieces: DataFrame, weights: DataFrame, least: float = 0.30, most: int = 60) -> DataFrame:
+    """(a, b, score, common, telling) of pieces of different kinds that may belong to one project, from ``least`` on.
+
+    ``pieces`` has (id, kind, rank, tokens, amount, sector, day); ``rank`` is a kind's place in the chain. To the weighted
+    Dice of the tokens come how well the amounts fit, whether the later piece has the earlier date, and whether the sectors
+    agree, as far as they are known; without a rare common token the score counts for less.
+    """
+    base = pair_scores(pieces, weights, most)
+    one = lambda c: pieces.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("rank", "tokens", "amount", "sector", "day")])
+    rows = base.join(one("a"), "a").join(one("b"), "b")
+    common = rows.select("a", "b", F.explode(F.array_intersect("a_tokens", "b_tokens")).alias("token")).join(weights.select("token", "idf"), "token")
+    common = common.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("idf").alias("rarest"), F.max_by("token", F.struct("idf", "token")).alias("telling"))
+    rows = rows.join(common, ["a", "b"])
+    fits = amount_proximity(F.col("a_amount"), F.col("b_amount"))
+    first = F.col("a_rank") <= F.col("b_rank")
+    early, late = F.when(first, F.col("a_day")).otherwise(F.col("b_day")), F.when(first, F.col("b_day")).otherwise(F.col("a_day"))
+    agree = F.when(F.col("a_sector").isNull() | F.col("b_sector").isNull(), 0.0).when(F.col("a_sector") == F.col("b_sector"), SAME).otherwise(-OTHER)
+    total = F.col("score") + F.coalesce(AMOUNT * (fits - 0.5), F.lit(0.0)) - F.when(late < early, REVERSED).otherwise(0.0) + agree
+    rare = F.col("rarest") >= TELLING
+    total = F.when(rare, total).otherwise(total * COMMON)
+    made = rows.select("a", "b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("score"), "common", F.when(rare, F.col("telling")).alias("telling"))
+    return made.where(F.col("score") >= least)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that is reachable over the pairs (a, b). Labels jump along their own pointers each round, until none moves."""
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).where("a != b").distinct()

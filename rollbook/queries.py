@@ -23,11 +23,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    return dict(SPARK)
+    from . import cases, consolidations, routes
+
+    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import cases, consolidations, routes
+
+    return SQL | cases.SQL | consolidations.SQL | routes.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

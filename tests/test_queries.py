@@ -4,8 +4,14 @@ import pytest
 
 from rollbook import queries as records
 
+#: Jobs that go through their rows in an order, which SQL doesn't express: see test_consolidation.
+ORDERED = {"automatic_merges", "tenures_folded"}
 
-@pytest.mark.parametrize("name", sorted(records.queries()))
+
+@pytest.mark.parametrize("name", sorted(set(records.queries()) - ORDERED))
 def test_same_as_sql(name, same):
-    assert name in records.oracle_sql()
     same(records.queries()[name], records.oracle_sql()[name])
+
+
+def test_all_others_have_sql():
+    assert set(records.queries()) - set(records.oracle_sql()) == ORDERED
