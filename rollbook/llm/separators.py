@@ -51,7 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_co
 
 
 def blocks(spark: SparkSession, path: str, *, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, data): the files cut into blocks, in the JVM. A file is at most 2 GB; larger corpora are many files."""
+    """(file, block, data): the files cut into blocks, in the JVM. A file is at most 2 GB, as Spark reads it as one value, and fails beyond; larger corpora are many files."""
     size = block_tokens * width
     files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "content", "length")
     numbered = files.withColumn("block", F.explode(F.sequence(F.lit(0), ((F.col("length") - 1) / size).cast("int"))))
@@ -63,7 +63,8 @@ def scan(spark: SparkSession, path: str, *, end_id: int, width: int = 2, block_t
 
     ``n_tokens`` counts the separator. Tokens after a file's last separator are a document that hasn't ``ended``. An
     empty file has no documents; two separators in a row make a document of one token. With ``head``, the document's
-    first that many tokens come along (null where the file's blocks split them: see ``block_tokens``).
+    first that many tokens come along, put together over blocks. Very long documents span as many blocks as they need;
+    equal documents count each by itself.
     """
     kind = f"<u{width}"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
