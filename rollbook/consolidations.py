@@ -214,6 +214,20 @@ def verdicts_applied(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", nature.alias("nature"), ((F.col("event_type") == "purchase") & sure).alias("accepted"))
 
 
+@job("""WITH f AS (SELECT p_partkey AS id, p_type AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'Commune de ' || n_name WHEN p_partkey % 3 = 1 THEN 'nowhere ' || (p_partkey % 4) END AS place, n_nationkey, CASE WHEN p_size % 5 <> 0 THEN DATE '2024-01-01' + (p_size % 3)::INT END AS day FROM part JOIN nation ON n_nationkey = p_partkey % 25),
+g AS (SELECT *, CASE WHEN p.id % 3 = 0 THEN n_nationkey::VARCHAR WHEN p.id % 3 = 1 THEN '?' || place ELSE '?' END AS spot FROM f p), k AS (SELECT * FROM g WHERE id % 10 = 0 AND id % 20 <> 0), n AS (SELECT * FROM g WHERE id % 10 <> 0)
+SELECT id, CASE WHEN id % 3 = 0 THEN n_nationkey::BIGINT END AS locality FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.kind = n.kind AND k.spot = n.spot AND (n.day IS NULL OR k.day = n.day)) QUALIFY row_number() OVER (PARTITION BY kind, spot, day ORDER BY id) = 1""")
+def facilities_admitted(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    place = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Commune de "), F.col("n_name"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("nowhere "), (F.col("p_partkey") % 4).cast("string")))
+    day = F.when(F.col("p_size") % 5 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_size") % 3).cast("int")))
+    rows = t(spark, sf_dir, "part").join(n, F.col("n_nationkey") == F.col("p_partkey") % 25).select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), place.alias("place"), "n_nationkey", day.alias("day"))
+    there = rows.where("id % 10 = 0").select("kind", F.when(F.col("id") % 3 == 0, F.col("n_nationkey")).alias("locality"), "place", "day", F.when(F.col("id") % 20 == 0, records.REJECTED).otherwise(records.VALID).alias("status"))
+    gazetteer = n.select(F.col("n_nationkey").alias("place_id"), tx.place_key("n_name").alias("key"), F.lit(1).alias("population"))
+    made = consolidation.facilities_admitted(rows.where("id % 10 <> 0"), there, gazetteer)
+    return made.select("id", F.col("locality").cast("long").alias("locality"))
+
+
 def _recleaned(obj, awardee, authority, status):
     """Object, awardee, sector and status of an award after another cleaning; one whose awardee can't be used goes back to the reviewers."""
     o, a = aw.clean_object(obj), aw.clean_awardee(awardee)

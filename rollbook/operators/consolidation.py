@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.offices import seat_key
-from ..functions.text import company_key
+from ..functions.text import company_key, place_key
 from . import linkage, records
 
 #: From here on two spellings are the same supplier without a review.
@@ -160,3 +160,21 @@ def synchronised(state: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
     made = state.withColumn("known", F.lit(True)).join(now, key, "full_outer")
     change = F.when(F.col("known").isNull(), "added").when(F.col("there").isNull() & F.col("active"), "left").when(F.col("there") & ~F.col("active"), "back").otherwise("none")
     return made.select(key, F.when(F.col("there"), F.col("new_role")).otherwise(F.col("role")).alias("role"), F.coalesce("there", F.lit(False)).alias("active"), change.alias("change"))
+
+
+def facilities_admitted(found: DataFrame, known: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Facilities (kind, place, day, ...) with the locality that their place names, without those known already and each once.
+
+    Known is a facility of the same kind that wasn't rejected, at the same locality (or, where none is found, of the same
+    place's key) and of the same day, if the new one has a day. ``known`` has (kind, locality, place, day, status),
+    ``gazetteer`` (place_id, key, population).
+    """
+    rows = found.withColumn("key", place_key("place"))
+    places = linkage.geocode(rows.select("key"), gazetteer).select("key", F.col("place_id").alias("locality"))
+    rows = rows.join(places, "key", "left").withColumn("spot", F.coalesce(F.col("locality").cast("string"), F.concat(F.lit("?"), "key")))
+    there = known.where(F.col("status") != records.REJECTED).select("kind", "locality", place_key("place").alias("key"), "day")
+    there = there.select("kind", F.col("day").alias("known_day"), F.explode(F.array_compact(F.array(F.col("locality").cast("string"), F.concat(F.lit("?"), "key")))).alias("spot"))
+    dated = rows.where("day IS NOT NULL").join(there.withColumnRenamed("known_day", "day"), ["kind", "spot", "day"], "left_anti")
+    undated = rows.where("day IS NULL").join(there, ["kind", "spot"], "left_anti")
+    fresh = dated.unionByName(undated)
+    return records.latest(fresh, ["kind", "spot", "day"], [F.col("id")]).drop("key", "spot")
