@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import awards, offices, papers, passages, rules
 from .functions import text as tx
+from .sources import archive
 
 SPARK, SQL = {}, {}
 
@@ -106,3 +107,6 @@ cases("last_segment", papers.last_segment, [("https://h/a/b%20c.pdf?x=1", "b c.p
 cases("award_located", passages.located, [("Lot 1\nDPX  n°2026-01 du 3", "DPX n°2026-01", None, None, 6), ("le sieur  L’OASIS sarl gagne", "absent1", "L'OASIS SARL", None, 10), ("vu: Acquisition de mobilier de bureau neuf", None, "x", "Acquisition de mobilier de bureau neuf.", 4), ("rien", "abc", "abcdefg", None, None), (None, "abcdefg", None, None, None)], kind="int")
 cases("number_after_name", passages.number_after_name, [("Monsieur Éric TRAORE, Mle 355 091 N, ingénieur", "Eric Traoré", "355091N"), ("Eric  TRAORE, Mle 1234; Eric TRAORE, Mle 5678", "Eric Traore", None), ("Eric TRAORE nommé à Ouagadougou puis Mle 1234", "Eric Traore", None), ("Eric TRAORE Mle. 12.345; Eric TRAORE Mle 12345", "Eric Traore", "12345"), (None, "x", None), ("x", "", None)])
 cases("passage_shown", lambda t, a, n: passages.passage(t, [(a, False), (n, True)]), [("Au titre. - Monsieur A & B, Mle 35 50 91, est nommé ; - Madame C", "monsieur a", "355091", "<mark>Monsieur A</mark> &amp; B, Mle <mark>35 50 91</mark>, est nommé"), ("Un. Deux trois. Quatre", "trois", None, "Deux <mark>trois</mark>."), ("abc", "x", "12", None), (None, "x", None, None), ("Début sans fin", "sans", "", "Début <mark>sans</mark> fin")])
+
+cases("links_found", lambda h, b: F.array_join(archive.links(h, b), " "), [('<a href="/x.pdf"><a href="https://h.org/x.pdf"><a href="//o/y">', "https://h.org/p/q", "https://h.org/x.pdf //o/y"), ("<a>", "https://h.org", ""), (None, "https://h.org", "")])
+cases("archive_key_made", lambda s, y, c, e: archive.archive_key(s, y, c.cast("binary"), e), [("court", 2024, "abc", "pdf", "court/2024/ba7816bf8f01cfea.pdf"), ("law", 2023, "", "txt", "law/2023/e3b0c44298fc1c14.txt")], ["string", "int", "string", "string"])

@@ -228,6 +228,21 @@ def facilities_admitted(spark, sf_dir):
     return made.select("id", F.col("locality").cast("long").alias("locality"))
 
 
+@job("""WITH r AS (SELECT p_partkey AS id, lower(p_name) AS key, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN '' END AS acronym FROM part), g AS (SELECT key, min(id) AS canonical, arg_min(acronym, id) FILTER (acronym <> '') AS given FROM r GROUP BY key HAVING count(*) > 1)
+SELECT r.id, canonical, coalesce(nullif(c.acronym, ''), given) AS acronym FROM r JOIN g USING (key) JOIN r c ON c.id = canonical WHERE r.id <> canonical""")
+def structures_merged(spark, sf_dir):
+    acronym = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 1, "")
+    return consolidation.same_names(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.initcap("p_name").alias("name"), acronym.alias("acronym")))
+
+
+@job(ctes("appointment") + """, a AS (SELECT id, person_id, structure_id, CASE WHEN id % 3 <> 0 THEN concat('M', structure_id % 3 + id % 2 * (structure_id % 2)) END AS number FROM appointment), g AS (SELECT person_id, number, count(*) AS n FROM a WHERE number IS NOT NULL GROUP BY ALL),
+m AS (SELECT person_id, number AS main FROM g QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY n DESC, number) = 1), u AS (SELECT person_id, structure_id, min(number) AS single FROM a WHERE number IS NOT NULL GROUP BY ALL HAVING count(DISTINCT number) = 1)
+SELECT a.id, a.person_id, coalesce(a.number, single, main) AS identity FROM a LEFT JOIN m USING (person_id) LEFT JOIN u ON u.person_id = a.person_id AND u.structure_id = a.structure_id""")
+def homonyms_split(spark, sf_dir):
+    number = F.when(F.col("id") % 3 != 0, F.concat(F.lit("M"), (F.col("structure_id") % 3 + F.col("id") % 2 * (F.col("structure_id") % 2)).cast("string")))
+    return consolidation.homonyms(view(spark, sf_dir, "appointment").select("id", "person_id", "structure_id", number.alias("number")))
+
+
 def _recleaned(obj, awardee, authority, status):
     """Object, awardee, sector and status of an award after another cleaning; one whose awardee can't be used goes back to the reviewers."""
     o, a = aw.clean_object(obj), aw.clean_awardee(awardee)

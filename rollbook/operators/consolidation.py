@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.offices import seat_key
-from ..functions.text import company_key, place_key
+from ..functions.text import company_key, person_key, place_key
 from . import linkage, records
 
 #: From here on two spellings are the same supplier without a review.
@@ -178,3 +178,25 @@ def facilities_admitted(found: DataFrame, known: DataFrame, gazetteer: DataFrame
     undated = rows.where("day IS NULL").join(there, ["kind", "spot"], "left_anti")
     fresh = dated.unionByName(undated)
     return records.latest(fresh, ["kind", "spot", "day"], [F.col("id")]).drop("key", "spot")
+
+
+def same_names(structures: DataFrame) -> DataFrame:
+    """(id, canonical, acronym) of institutions (id, name, acronym) whose name's key another one has: the smallest id stands for all, and takes the acronym of the first that has one if it has none."""
+    rows = structures.withColumn("key", person_key("name"))
+    has = F.nullif("acronym", F.lit(""))
+    groups = rows.groupBy("key").agg(F.min("id").alias("canonical"), F.min_by(has, F.struct(has.isNull(), "id")).alias("given"), F.min_by(has, "id").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(groups, "key").where("id <> canonical").select("id", "canonical", F.coalesce("own", "given").alias("acronym"))
+
+
+def homonyms(mentions: DataFrame) -> DataFrame:
+    """(id, person_id, identity) of mentions (id, person_id, structure_id, number): which of the people that share a record is meant.
+
+    A record whose mentions have several numbers is several people; the number with most mentions (of equals the least)
+    keeps the record. A mention without a number is of the one whose number alone belongs to its institution, else of that one.
+    """
+    known = mentions.where("number IS NOT NULL")
+    counts = known.groupBy("person_id", "number").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.groupBy("person_id").agg(F.min_by("number", F.struct(-F.col("n"), "number")).alias("main"))
+    places = known.where("structure_id IS NOT NULL").groupBy("person_id", "structure_id").agg(F.count_distinct("number").alias("k"), F.min("number").alias("only")).where("k = 1")
+    rows = mentions.join(first, "person_id", "left").join(places.drop("k"), ["person_id", "structure_id"], "left")
+    return rows.select("id", "person_id", F.coalesce("number", "only", "main").alias("identity"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.offices import function_category, institution_type, portfolio
+from .functions.offices import FUNCTIONS, OTHER_FUNCTION, function_category, institution_type, portfolio
 from .functions.papers import rfc822
 from .operators import records
 from .operators.search import matches, ranked
@@ -200,6 +200,17 @@ def route_portfolios(structure, tenure):
     return tenure.join(held, "structure_id").groupBy("portfolio").agg(F.count_distinct("person_id").alias("people"), F.array_sort(F.collect_set("structure_id")).alias("variants"))
 
 
+@route("structure", "tenure", sql="""+ t AS (SELECT coalesce(s.canonical_id, s.id) AS id, person_id, done, CASE post WHEN 'Administrateur' THEN 'Conseils d''administration' WHEN 'Conseiller' THEN 'Cabinet & conseil' ELSE 'Direction & encadrement' END AS category FROM tenure JOIN structure s ON s.id = structure_id),
+p AS (SELECT id, category, person_id, bool_or(done IS NULL) AS now FROM t GROUP BY ALL)
+SELECT id, category, CASE category WHEN 'Conseils d''administration' THEN 2 WHEN 'Cabinet & conseil' THEN 3 ELSE 4 END AS place, count(*) FILTER (now) AS current, count(*) FILTER (NOT now) AS former FROM p GROUP BY ALL""")
+def route_institution(structure, tenure):
+    """For each institution, all its names together: who serves and who served (but doesn't now) by category of function, in the fixed order."""
+    root = structure.select(F.col("id").alias("structure_id"), F.coalesce("canonical_id", "id").alias("root"))
+    people = tenure.join(F.broadcast(root), "structure_id").withColumn("category", function_category("post")).groupBy("root", "category", "person_id").agg(F.bool_or(F.col("done").isNull()).alias("now"))
+    place = F.array_position(F.array(*[F.lit(c) for c, _ in FUNCTIONS], F.lit(OTHER_FUNCTION)), F.col("category")).cast("int") - 1
+    return people.groupBy(F.col("root").alias("id"), "category").agg(F.count_if("now").alias("current"), F.count_if(~F.col("now")).alias("former")).select("id", "category", place.alias("place"), "current", "former")
+
+
 @route("structure", "tenure", sql="""+ c AS (SELECT person_id FROM tenure WHERE structure_id = 3 AND done IS NULL), f AS (SELECT person_id FROM tenure WHERE structure_id = 3 AND done IS NOT NULL)
 SELECT DISTINCT person_id, person_id IN (SELECT person_id FROM c) AS now FROM (SELECT * FROM c UNION SELECT * FROM f)""")
 def route_agents(structure, tenure):
