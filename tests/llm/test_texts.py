@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from rollbook.llm import decontaminate, packing, queries, simhash, suffix, toxicity, warc
+from rollbook.llm import decontaminate, queries, warc
 
 from ..conftest import SMALL
 
