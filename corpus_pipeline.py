@@ -1,6 +1,9 @@
 """A corpus pipeline: toxic documents go, then near copies, repeated passages and benchmark items; what is left is packed.
 
-Each stage takes the documents that the one before has kept, written as Parquet and read again.
+Each stage takes the documents that the one before has kept, written as Parquet and read again. All but the last give the
+columns of documents, whatever other columns their input has. Null texts count as empty and are kept (the last stage gives
+them one token), as are rows with null ids; very long texts are read as a whole; of rows that share an id the near-copy stage
+keeps one, and of equal texts under several ids the smallest id; scores that tie are equal; an empty table stays empty.
 """
 
 from __future__ import annotations
