@@ -8,7 +8,6 @@ may be very long.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -17,17 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts of 100 kB make a batch of about 25 MB.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch, or one row.
+BATCH_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """A folder of this application in the session's shared checkpoint folder, without which nothing is written."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rollbook-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/rollbook-{spark.sparkContext.applicationId}"
 
 
@@ -89,9 +86,11 @@ def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Long texts: keep the Arrow batches of this session small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Long texts: no Arrow batch of more than so many bytes (and one row). It only ever lowers what the session has, so lazy frames stay right."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
