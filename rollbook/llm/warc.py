@@ -29,8 +29,8 @@ from .common import partitions, small_batches
 
 #: The name space of the records' UUIDs: that of URLs.
 SPACE = uuid.NAMESPACE_URL
-#: What a record begins with; files are split there.
-VERSION = b"WARC/1.1\r\n"
+#: What a record of version 1.0 or 1.1 begins with, before the last digit; files are split there.
+VERSION = b"WARC/1."
 #: Elements that hold no text, and elements that begin a new line.
 SILENT = {"script", "style", "noscript", "template"}
 BREAKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "main", "aside", "title", "head", "body", "blockquote", "pre", "hr", "dl", "dt", "dd", "form"}
@@ -192,13 +192,17 @@ RECORD = pa.schema([("file", pa.string()), ("open", pa.bool_()), ("headers", pa.
 
 def _parsed(piece: bytes) -> tuple[bytes, bytes, int] | None:
     """(header lines, block, bytes that are missing) of a piece that begins a record, else none."""
-    head, gap, body = piece.partition(b"\r\n\r\n")
+    first = re.match(rb"\d+[ \t]*\r\n", piece)
+    head, gap, body = piece[first.end() :].partition(b"\r\n\r\n") if first else (b"", b"", b"")
     m = re.search(rb"(?im)^content-length[ \t]*:[ \t]*(\d+)", head)
     return (head, body[: int(m[1])], max(int(m[1]) - len(body), 0)) if gap and m else None
 
 
-def _cut(batches):
-    """Records of pieces (file, split, piece) that come in order; ``open`` if a file's or split's last one has bytes missing."""
+def _cut(batches, strict: bool = True):
+    """Records of pieces (file, split, piece) that come in order; ``open`` if a file's or split's last one has bytes missing.
+
+    Bytes outside records are an error, unless a split may begin within one (not ``strict``).
+    """
     place, held = None, []
 
     def row(made, unfinished):
@@ -216,6 +220,8 @@ def _cut(batches):
                 missing -= len(VERSION) + len(piece)
             elif made := _parsed(piece):
                 held, missing = [piece], made[2]
+            elif strict and piece.strip():
+                raise ValueError(f"{file}: no WARC 1.0 or 1.1 record begins at {piece[:40]!r}")
             if held and missing <= 0:
                 out.append(row(_parsed(VERSION.join(held)), False))
                 held = []
@@ -226,9 +232,9 @@ def _cut(batches):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, headers, block): the records of WARC 1.1 files, whatever their type, plain or compressed by record.
+    """(file, headers, block): the records of WARC 1.0 and 1.1 files, whatever their type, plain or compressed by record.
 
-    Files are cut at the records' first line. Where a block holds that line itself, the pieces are put together again by
+    Files are cut at the records' first line; a file that holds anything but such records is an error, an empty one has none. Where a block holds that line itself, the pieces are put together again by
     the block's length. Spark splits plain files, so a first pass looks for splits that end within such a record; the files
     that have any (hardly ever one) are put in order by a sort and read as a whole, the others split by split. A file's
     last record that ends early has what there is.
@@ -236,7 +242,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark)
     rows = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
     kind = "file string, open boolean, headers string, block binary"
-    torn = [r.file for r in rows.mapInArrow(_cut, kind).where("open").select("file").distinct().collect()]
+    torn = [r.file for r in rows.mapInArrow(lambda b: _cut(b, False), kind).where("open").select("file").distinct().collect()]
     if not torn:
         return rows.mapInArrow(_cut, kind).select("file", "headers", "block")
     of = F.broadcast(spark.createDataFrame([(f,) for f in torn], "file string"))
