@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_group, forest, partitions, save, small_batches
+from .common import by_group, forest, partitions, save, small, small_batches
 from .components import components
 
 BITS = 3
@@ -162,30 +162,50 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", bits
     Rows with equal fingerprints are linked, so repeated rows and exact copies share a class. An id that is null
     is never the smallest; a class of null ids only has a null ``component_id``. Any other column is dropped.
     """
+    return _classes(docs, id_col, text, bits).drop("root")
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
+    """The same with ``root``, which tells classes apart that have the same smallest id."""
     rows = save(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     fps = save(fps, "distinct")
     roots = components(links(fps.select("fp"), bits))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("id", "fp", "component_id")
+    found = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(found, "fp").select("id", "fp", "root", "component_id")
 
 
 def hex16(col: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
 
 
+def _kept(docs: DataFrame, found: DataFrame, id_col: str, named) -> DataFrame:
+    """One row of each class of ``found`` (id, name, root): that with the smallest id, and of several such rows that of the smallest name.
+
+    Rows are told apart by id and name, so a text that shares its id with another one is judged by itself; equal in both,
+    one stays. Only the few rows whose ids repeat are named again, by ``named``, which adds the column ``__name``; the
+    others are picked by id. Rows with a null id stay.
+    """
+    first = found.where("id IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "name")).alias("k")).select("k.*")
+    times = found.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    first = save(first.join(times, "id").select(F.col("id").alias("__id"), F.col("name").alias("__of"), "n"), "kept")
+    own = F.col(id_col) == F.col("__id")
+    once = docs.join(small(first.where("n = 1").select("__id")), own, "left_semi")
+    again = named(docs.join(small(first.where("n > 1").select("__id").distinct()), own, "left_semi"))
+    again = again.join(first.where("n > 1"), own & (F.col("__name") == F.col("__of")), "left_semi").dropDuplicates([id_col, "__name"]).drop("__name")
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """One row of each class: that with the smallest id (of several such rows, one); all columns of ``docs`` stay."""
-    found = classes(docs, id_col=id_col, text=text, bits=bits)
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    # of rows that share the id, the one with the smallest fingerprint stands for the class
-    keep = first.groupBy("component_id").agg(F.min("fp").alias("__fp")).withColumnRenamed("component_id", "__id")
-    known = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__id"), "left_semi")
-    once = known.dropDuplicates([id_col])
-    unknown = docs.where(F.col(id_col).isNull())
-    return once.unionByName(unknown)
+    """One row of each class: that with the smallest id (of several such rows, that of the smallest fingerprint); rows with a null id and all columns stay."""
+    found = _classes(docs, id_col, text, bits).withColumnRenamed("fp", "name")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return fingerprints(rows.withColumn("__text", F.col(text)), text="__text", out="__name")
+
+    return _kept(docs, found, id_col, named)
 
 
 @lru_cache(maxsize=200_000)
@@ -271,6 +291,11 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> D
     compared, and within a component of candidates a set only with those that aren't linked to anything yet; a task
     holds the sets of one component of candidates.
     """
+    return _similar(docs, id_col, text).drop("root")
+
+
+def _similar(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The same with ``root``, which tells classes apart that have the same smallest id."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
@@ -317,12 +342,20 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> D
     roots = sets.repartition(n, "root").sortWithinPartitions("root").mapInArrow(linked, "name long, root long")
     rooted = save(once.select("name", "least").join(roots, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root")), "roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "name").join(rooted.join(smallest, "root").select("name", "component_id"), "name").select("id", "name", "component_id")
+    return rows.select("id", "name").join(rooted.join(smallest, "root").select("name", "root", "component_id"), "name").select("id", "name", "root", "component_id")
 
 
 def deduplicate_similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of :func:`similar`: that with the smallest id (of several such rows, one); rows with a null id and all columns stay."""
-    found = similar(docs, id_col=id_col, text=text)
-    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    once = docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each class of :func:`similar`: that with the smallest id (of several such rows, that of the smallest name); rows with a null id and all columns stay."""
+    found = _similar(docs, id_col, text)
+
+    def named(rows: DataFrame) -> DataFrame:
+        fields = T.StructType([*rows.schema.fields, T.StructField("__name", T.LongType())])
+
+        def run(batches):
+            for batch in batches:
+                yield batch.append_column("__name", pa.array([_name(shingles(t or "")) for t in batch.column(text).cast(pa.string()).to_pylist()], pa.int64()))
+
+        return rows.mapInArrow(run, fields)
+
+    return _kept(docs, found, id_col, named)
