@@ -1,11 +1,12 @@
 """Benchmark passages in documents, re-parameterised ones included.
 
-Words are reduced to a template: lower case, no punctuation, numbers, units after a
-number, and names (capitals within a sentence) replaced by typed placeholders, whose
-words are the slots. Windows of ``WINDOW`` template words are hashed and joined with
+Words are reduced to a template: lower case, no punctuation, numbers (in figures or words),
+units after a number, and names (capitalised words but those that often open sentences)
+replaced by typed placeholders, whose words are the slots. Names and numbers of several words
+are one placeholder. Windows of ``WINDOW`` template words are hashed and joined with
 those of the benchmark; an item of fewer words is one window of its own length, and the
 documents' windows of that length are hashed as well. Windows with too few words that
-aren't placeholders would match anything, so they are asked for word by word instead.
+aren't names or numbers would match anything, so they are asked for word by word instead.
 
 What matches is checked for its slots: an item's windows in a document must agree on what
 each of the item's slot words was replaced by, and different slot words mustn't become one.
@@ -27,15 +28,25 @@ from .common import save, small, whole_text
 WINDOW = 8
 #: Share of an item's windows that a document must hold, and of its slots that must be replaced consistently.
 COVERAGE, AGREEMENT = 0.5, 0.75
-#: Words of a window that must not be placeholders, for windows that are compared as templates.
+#: Words of a window that must not be names or numbers, for windows that are compared as templates.
 LITERAL = 4
 #: Windows belong to one occurrence if their distances from the item's places differ by no more from one to the next.
 SLACK = 8
 #: Units of measure that count as such after a number.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "%", "percent", "dollars", "euros", "usd", "eur", "degrees", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "liters", "litres"]
+#: Words of numbers.
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+#: Words that open sentences and aren't names.
+OPENERS = "a an the this that these those there here it he she we you they i my his her its our your their what which who whom whose when where why how is are was were do does did can could will would should may must if then so and but or for to of in on at by with from as after before about under over during since while because although though each every all some any no not only also once first second next last find given suppose let consider compute calculate solve show prove name write say add tell make use".split()
 #: Signs that separate words wherever they stand.
 SIGNS = "\n\t\r\x0b\x0c\u00a0()[]{}\"'*#&|_<>=~^`“”«»‘’…–—/\\;"
 NUM, UNIT, NAME, STOP = "\u0001", "\u0002", "\u0003", "\u0004"
+#: Stands for the blank between words of one name or one number.
+JOINT = "\u0005"
+_NUMBER = "(?:" + "|".join(f"[{w[0]}{w[0].upper()}]{w[1:]}" for w in sorted(NUMBERS, reverse=True)) + ")"
+_OPENER = "(?:" + "|".join(w.capitalize() for w in OPENERS) + ")"
+#: The blank between two capitalised words that aren't openers, and that between two words of a number.
+JOINED = rf" (?=\p{{Lu}}\p{{Ll}}++ )(?!{_OPENER} )(?<=[ \x05]\p{{Lu}}\p{{Ll}}{{1,30}}+ )(?<![ \x05]{_OPENER} )| (?={_NUMBER} )(?<=[ \x05]{_NUMBER} )"
 
 
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -53,6 +64,7 @@ def words_of(text: Column) -> Column:
     plain = F.translate(F.concat(text, F.lit(" ")), "!?" + SIGNS, ".." + " " * len(SIGNS))
     for mark, by in ((". ", f" {STOP} "), (", ", " "), (": ", " ")):
         plain = F.replace(plain, F.lit(mark), F.lit(by))
+    plain = F.regexp_replace(F.concat(F.lit(f"{STOP} "), plain), JOINED, JOINT)
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
@@ -63,10 +75,12 @@ def _kinds(words: Column, make) -> Column:
 
     def number(w: Column) -> Column:
         # the first character decides for most words, without a regular expression
-        return ((F.ascii(w) <= 57) | (F.ascii(w) == 8364)) & w.rlike(r"^[$€]?[+-]?\d[\d.,:/]*%?$")
+        figures = ((F.ascii(w) <= 57) | (F.ascii(w) == 8364)) & w.rlike(r"^[$€]?[+-]?\d[\d.,:/]*%?$")
+        return figures | F.lower(F.substring_index(w, JOINT, 1)).isin(*NUMBERS)
 
     def one(w: Column, last: Column) -> Column:
-        name = (last != STOP) & (F.ascii(w).between(65, 90) | (F.ascii(w) >= 192)) & w.rlike(r"^\p{Lu}\p{Ll}+$")
+        name = (F.ascii(w).between(65, 90) | (F.ascii(w) >= 192)) & w.rlike(rf"^\p{{Lu}}\p{{Ll}}+(?:{JOINT}\p{{Lu}}\p{{Ll}}+)*$")
+        name = name & ~F.lower(w).isin(*OPENERS)
         kind = F.when(number(w), F.lit(NUM)).when(number(last) & F.array_contains(units, F.lower(w)), F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(F.lower(w))
         return F.when(w != STOP, make(w, kind))
 
@@ -141,7 +155,7 @@ def asked(items: DataFrame, item_col: str = "item_id", item_text: str = "text")
 
     def one(k: int) -> Column:
         def window(h: Column, i: Column) -> Column:
-            literal = F.size(F.filter(F.slice("x", i + 1, k), lambda x: ~x["kind"].isin(NUM, UNIT, NAME)))
+            literal = F.size(F.filter(F.slice("x", i + 1, k), lambda x: ~x["kind"].isin(NUM, NAME)))
             exact = literal < min(LITERAL, k)
             return F.struct(F.lit(k).alias("size"), i.alias("item_at"), F.when(exact, F.get(f"e{k}", i)).otherwise(h).alias("h"), exact.alias("exact"))
 

@@ -26,15 +26,22 @@ def template(text):
     text = text.replace(". ", f" {decontaminate.STOP} ").replace(", ", " ").replace(": ", " ")
     import re
 
-    number = lambda w: bool(re.match(r"^[$€]?[+-]?\d[\d.,:/]*%?$", w))
-    out, last = [], decontaminate.STOP
+    capital = lambda w: len(w) > 1 and w[0].isupper() and w[1:].isalpha() and w[1:].islower() and w.lower() not in decontaminate.OPENERS
+    word_number = lambda w: w.lower() in decontaminate.NUMBERS and w[1:].islower()
+    words = []
     for w in filter(None, text.split(" ")):
+        # a word goes on with the name or number before it
+        same = words and any(f(w) and f(words[-1].split(decontaminate.JOINT)[-1]) for f in (capital, word_number))
+        words = [*words[:-1], f"{words[-1]}{decontaminate.JOINT}{w}"] if same else [*words, w]
+    number = lambda w: bool(re.match(r"^[$€]?[+-]?\d[\d.,:/]*%?$", w)) or w.split(decontaminate.JOINT)[0].lower() in decontaminate.NUMBERS
+    out, last = [], decontaminate.STOP
+    for w in words:
         if w != decontaminate.STOP:
             if number(w):
                 kind = "#num"
             elif number(last) and w.lower() in decontaminate.UNITS:
                 kind = "#unit"
-            elif last != decontaminate.STOP and len(w) > 1 and w[0].isupper() and w[1:].isalpha() and w[1:].islower():
+            elif all(map(capital, w.split(decontaminate.JOINT))):
                 kind = "#name"
             else:
                 kind = w.lower()
@@ -49,7 +56,7 @@ def grams(text, n):
     out = []
     for i in range(len(t) - n + 1):
         part = t[i : i + n]
-        literal = sum(not (k.startswith("#") and len(k) > 1) for k, _ in part)
+        literal = sum(k not in ("#num", "#name") for k, _ in part)
         out.append(tuple(k for k, _ in part) if literal >= min(decontaminate.LITERAL, n) else ("=", *(w.lower() for _, w in part)))
     return out
 
@@ -93,6 +100,20 @@ def test_short_and_dense_items_are_found_inside_documents(spark):
     assert {(r.doc_id, r.item_id) for r in rows if r.contaminated} == {(k, k) for k in range(7)} | {(50, 1)}
 
 
+def test_names_and_numbers_of_any_words_are_one_slot(spark):
+    """A name that opens a sentence, names and numbers of several words: the same question with others in it."""
+    item = "Alice has 5 apples in 2 bags. Then John Smith takes a train from Paris to Rome that leaves at noon."
+    others = [
+        "Maria has 7 apples in 3 bags. Then Pedro takes a train from New York to Los Angeles that leaves at noon.",
+        "Mary Ann has twenty five apples in two bags. Then Jean Luc Martin takes a train from Oslo to Kyoto that leaves at noon.",
+        "Oslo What", "The train from Oslo to Kyoto leaves Mary Ann at noon, and nobody has apples.",
+    ]
+    docs = [(k, f"{CLEAN} {t} {CLEAN}") for k, t in enumerate(others)]
+    rows = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, "Alice has 5 apples in 2 bags.")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.coverage, r.agreement, r.contaminated) for r in rows} == {(d, i): (1.0, 1.0, True) for d in (0, 1) for i in (1, 2)}
+    assert {(r.doc_id, r.item_id): r.n_slots for r in rows} == {(0, 1): 6, (1, 1): 6, (0, 2): 3, (1, 2): 3}
+
+
 def slots_of(doc, item):
     """Slots and agreement of the whole document's matches, plainly."""
     a, b = template(item), template(doc)
@@ -199,6 +220,21 @@ def plainly(page):
     return [" ".join(x.split()) for x in made.out.split("\n") if x.split()]
 
 
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+def test_warc_versions(spark, new_folder, version):
+    block = f"about WARC/{version} and WARC/1.9\r\n".encode()
+    record = f"WARC/{version}\r\nWARC-Type: warcinfo\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    with open(f"{new_folder}/a.warc", "wb") as out:
+        out.write(record * 6)
+    assert [bytes(r.block) for r in warc.read(spark, f"file://{new_folder}/a.warc").collect()] == [block] * 6
+    for name, data in (("other", b"WARC/0.17\r\nContent-Length: 1\r\n\r\nx"), ("torn", record + b"more\r\n"), ("empty", b"")):
+        with open(f"{new_folder}/{name}.warc", "wb") as out:
+            out.write(data)
+    assert warc.read(spark, f"file://{new_folder}/empty.warc").count() == 0
+    with pytest.raises(Exception, match="no WARC 1.0 or 1.1 record"):
+        warc.read(spark, f"file://{new_folder}/other.warc").count()
+
+
 @pytest.mark.parametrize("compression", [None, "gzip"])
 def test_warc_files_read_back(spark, small, new_folder, compression):
     import glob
