@@ -506,7 +506,10 @@ def fit(pages: DataFrame, *, html: str = "html", text: str | None = None, max_pa
     """
     own = [F.col(html).cast("string").alias("h"), *([whole_text(text).alias("t")] if text else [])]
     rows = pages.select(*own).where(F.col("h").isNotNull() & (F.length("h") <= max_chars)).withColumn("k", F.xxhash64("h"))
-    chosen = rows.dropDuplicates(["k", "h"]).orderBy("k", "h").limit(max_pages).collect()
+    # which ones, before any page travels
+    keys = [r.k for r in rows.select("k").distinct().orderBy("k").limit(max_pages).collect()]
+    chosen = rows.where(F.col("k").isin(keys)).groupBy("k").agg(F.min(F.struct(*[c for c in rows.columns if c != "k"])).alias("page")).collect()
+    chosen = [r.page for r in sorted(chosen, key=lambda r: r.k)]
     return learned([r.h for r in chosen], [r.t for r in chosen] if text else None)
 
 
