@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import _col, let
 
 ANY = "(?iU)"
 #: The same where a dot takes in line breaks.
@@ -40,6 +40,10 @@ PREAMBLE = ANY + r"^(?:r[ée]gion\s+d[eu]\s+[A-ZÀ-Ÿ' -]+?\s+)?(?:demande\s+de\
 PLACE = ANY + r"^(?:r[ée]gion\s+d[eu]\s+[A-ZÀ-Ÿ' -]+?\s+)?(?:commun[eu]{1,2}\s+(?:de\s+|d[’'])[A-ZÀ-Ÿ' -]+?\s+)?"
 NOISE = ANY + r"^(?:r[ée]f[ée]rence|marge|dates?|financement|nombre|montant|publication|convocation|lettre|bornes?|revue|quotidien|attributaire|moyenne|offre)\b"
 UNKNOWN_OBJECT = "Objet non précisé (voir le Quotidien)"
+#: Characters that must stand before such a heading, that a place must take and an object must keep, and that an object has at most.
+BEFORE_END, PLACE_LENGTH, FROM_PREAMBLE, OBJECT_LENGTH = 8, 8, 12, 300
+#: Characters of a name that is rescued from behind an object, and that a name has at most.
+RESCUED, AWARDEE_LENGTH = (3, 50), 400
 #: What stands before and after an awardee's name, and how an object begins that slid into its place.
 AWARDEE_BEFORE = ANY + r"^\s*(?:s\s+(?=lot|provisoire|r[ée]sultat)|(?:r[ée]sultats?\s+)?provisoires?\s*:?\s*|provi(?:so|oi)re\s*:\s*|lot\s*(?:unique|n[°o]?\s*\d+|\d+)\s*:?\s*|l['’]attributaire\s+(?:provisoire\s+)?est\s+|attributaire\s*(?:provisoire\s*)?:\s*)"
 AWARDEE_AFTER = ANY + r"\s+(?:est\s+(?:d[ée]clar[ée]e?\s+)?attributaire.*|attributaire(?:\s+provisoire)?\b.*|pour\s+un\s+montant.*|pour\s+(?:l['’]acquisition|l['’]installation|les\s+travaux|la\s+r[ée]alisation|la\s+fourniture|la\s+construction|le\s+march).*|,?\s*adresse\s*:.*|\d{2}\s*BP\b.*)$"
@@ -121,17 +125,21 @@ def only_repeats_company(obj, company) -> Column:
 def clean_object(c) -> Column:
     """A legible object: the field "Objet :" or what follows a preamble, cut at the first administrative heading, without the place before it."""
     raw = _col(c)
-    text = F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))
-    field = F.regexp_instr(text, F.lit(OBJECT_FIELD))
-    named = F.regexp_replace(F.substring(text, field, F.length(text)), ANY + r"^objet\s*:\s*", "")
-    after = F.regexp_replace(text, PREAMBLE, "")
-    text = F.when(field > 0, named).when(F.length(after) >= 12, after).otherwise(text)
-    text = _cut_at(text, OBJECT_END, 8)
-    placed = F.regexp_replace(text, PLACE, "")
-    text = F.when((F.length(text) - F.length(placed) >= 8) & (F.length(placed) >= 12), placed).otherwise(text)
-    text = _strip(text, r" :.,;\-")
-    text = F.when(text == "", F.trim(raw)).otherwise(text)
-    return F.when(raw == "", raw).when(text.rlike(NOISE), F.lit(UNKNOWN_OBJECT)).otherwise(F.substring(text, 1, 300))
+
+    def begun(text: Column) -> Column:
+        field = F.regexp_instr(text, F.lit(OBJECT_FIELD))
+        named = F.regexp_replace(F.substring(text, field, F.length(text)), ANY + r"^objet\s*:\s*", "")
+        return F.when(field > 0, named).otherwise(let(F.regexp_replace(text, PREAMBLE, ""), lambda after: F.when(F.length(after) >= FROM_PREAMBLE, after).otherwise(text)))
+
+    def unplaced(text: Column) -> Column:
+        return let(F.regexp_replace(text, PLACE, ""), lambda rest: F.when((F.length(text) - F.length(rest) >= PLACE_LENGTH) & (F.length(rest) >= FROM_PREAMBLE), rest).otherwise(text))
+
+    def said(text: Column) -> Column:
+        text = F.when(text == "", F.trim(raw)).otherwise(text)
+        return let(text, lambda x: F.when(x.rlike(NOISE), F.lit(UNKNOWN_OBJECT)).otherwise(F.substring(x, 1, OBJECT_LENGTH)))
+
+    cut = let(let(F.trim(F.regexp_replace(raw, r"(?U)\s+", " ")), begun), lambda text: _cut_at(text, OBJECT_END, BEFORE_END))
+    return F.when(raw == "", raw).otherwise(let(_strip(let(cut, unplaced), r" :.,;\-"), said))
 
 
 def clean_awardee(c) -> Column:
@@ -142,10 +150,13 @@ def clean_awardee(c) -> Column:
         text = F.trim(F.regexp_replace(text, AWARDEE_BEFORE, ""))
     text = F.trim(F.regexp_replace(text, AWARDEE_AFTER, ""))
     signs = r" :.,;\-«»<>"
-    rescue = _strip(F.element_at(F.split(text, ":"), -1), signs)
-    rescued = F.when(F.contains(text, F.lit(":")) & F.length(rescue).between(3, 50) & ~rescue.rlike(OBJECT_IN_PLACE), rescue)
-    text = _strip(F.when(text.rlike(OBJECT_IN_PLACE), rescued).otherwise(text), signs)
-    return F.when(raw == "", raw).when((F.length(text) >= 3) & ~text.rlike(OBJECT_IN_PLACE), F.substring(text, 1, 400))
+
+    def rescued(text: Column) -> Column:
+        rest = let(_strip(F.element_at(F.split(text, ":"), -1), signs), lambda x: F.when(F.length(x).between(*RESCUED) & ~x.rlike(OBJECT_IN_PLACE), x))
+        return _strip(F.when(~text.rlike(OBJECT_IN_PLACE), text).when(F.contains(text, F.lit(":")), rest), signs)
+
+    last = let(let(text, rescued), lambda x: F.when((F.length(x) >= RESCUED[0]) & ~x.rlike(OBJECT_IN_PLACE), F.substring(x, 1, AWARDEE_LENGTH)))
+    return F.when(raw == "", raw).otherwise(last)
 
 
 def is_heading(c) -> Column:
@@ -175,3 +186,27 @@ def fingerprint_of(reference, awardee, amount, obj) -> Column:
     """What tells an award from others whichever issue publishes it: spacing and case don't count, a null amount isn't 0."""
     low = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"(?U)\s+", " ")))
     return F.concat_ws("|", low(reference), low(awardee), F.coalesce(_col(amount).cast("string"), F.lit("")), low(obj))
+
+
+#: Folded texts of calls that aren't awards yet.
+CALLS, BEFORE_CALLS = "%manifestation%interet%", ["%prequalification%", "%pre-qualification%"]
+
+
+def _call(reference, obj, mode) -> Column:
+    said = F.concat_ws(" ", *[F.coalesce(_col(c), F.lit("")) for c in (reference, obj, mode)])
+    return F.translate(F.lower(said), "éèêëàâîïôöûüç’", "eeeeaaiioouuc'")
+
+
+def nature_of(reference, obj, mode, amount) -> Column:
+    """``preselection`` for a line without an amount that calls for interest or prequalifies, else ``attribution``. Nulls count as empty; 0 is an amount."""
+    text = _call(reference, obj, mode)
+    call = text.like(CALLS)
+    for pattern in BEFORE_CALLS:
+        call = call | text.like(pattern)
+    return F.when(_col(amount).isNull() & call, "preselection").otherwise("attribution")
+
+
+def status_of(reference, obj, mode, amount, status, valid: str = "valid", pending: str = "pending") -> Column:
+    """An award with an amount that calls for interest goes back to review if it had passed; any other status stays."""
+    doubtful = _col(amount).isNotNull() & _call(reference, obj, mode).like(CALLS) & (_col(status) == valid)
+    return F.when(doubtful, pending).otherwise(_col(status))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, escape_html, fold
+from .text import _col, escape_html, fold, let
 
 #: Signs around a value that may have been added or lost when it was copied.
 AROUND = r"\s«»\"'\-–—:;,.()\[\]"
@@ -64,27 +64,22 @@ def _last(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.length(text) - at - len(mark) + 1).otherwise(-1)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is made once, however often it occurs there."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _span(text: Column, pattern: Column) -> Column:
     """(a, b) of the first match, from 0; null if there is none."""
     end = lambda at: F.when(at > 0, F.struct((at - 1).alias("a"), (at - 1 + F.length(F.regexp_substr(text, pattern))).alias("b")))
-    return _let(F.regexp_instr(text, pattern), end)
+    return let(F.regexp_instr(text, pattern), end)
 
 
 def _start(text: Column, at: Column) -> Column:
     """Where the sentence or the entry around a place begins."""
 
     def after(x: Column) -> Column:
-        dash = _let(_last(F.substring(x["before"], F.greatest(x["left"], F.lit(0)) + 1, F.length(x["before"])), "- "), lambda d: F.when(d >= 0, d + F.greatest(x["left"], F.lit(0))).otherwise(-1))
+        dash = let(_last(F.substring(x["before"], F.greatest(x["left"], F.lit(0)) + 1, F.length(x["before"])), "- "), lambda d: F.when(d >= 0, d + F.greatest(x["left"], F.lit(0))).otherwise(-1))
         return F.greatest(x["left"], dash, F.lit(0))
 
     before = F.substring(text, F.lit(1), at)
-    left = _let(before, lambda b: F.struct(b.alias("before"), F.greatest(_last(b, "\n"), _last(b, ". ") + 1).alias("left")))
-    return _let(_let(left, after), lambda s: F.when(F.substring(text, s + 1, F.lit(2)).isin("- ", "\n-"), F.least(s + 2, at)).otherwise(s))
+    left = let(before, lambda b: F.struct(b.alias("before"), F.greatest(_last(b, "\n"), _last(b, ". ") + 1).alias("left")))
+    return let(let(left, after), lambda s: F.when(F.substring(text, s + 1, F.lit(2)).isin("- ", "\n-"), F.least(s + 2, at)).otherwise(s))
 
 
 def passage(text, anchors: list[tuple]) -> Column:
@@ -106,7 +101,7 @@ def passage(text, anchors: list[tuple]) -> Column:
     def bounds(x: Column) -> Column:
         first = F.get(x["found"], F.lit(0))
         rest = F.regexp_instr(F.substring(x["text"], first["b"] + 1, F.length(x["text"])), F.lit(SENTENCE_END))
-        stop = _let(rest, lambda r: F.when(r > 0, first["b"] + r).otherwise(F.least(first["b"] + LONGEST, F.length(x["text"]))))
+        stop = let(rest, lambda r: F.when(r > 0, first["b"] + r).otherwise(F.least(first["b"] + LONGEST, F.length(x["text"]))))
         return F.struct(x["text"].alias("text"), x["found"].alias("found"), _start(x["text"], first["a"]).cast("int").alias("start"), stop.alias("stop"))
 
     def marked(x: Column) -> Column:
@@ -118,7 +113,7 @@ def passage(text, anchors: list[tuple]) -> Column:
 
         inside = F.filter(x["found"], lambda s: (s["a"] >= x["start"]) & (s["b"] <= x["stop"]))
         made = F.aggregate(inside, F.struct(F.lit("").alias("html"), x["start"].alias("at")), mark)
-        return _let(made, lambda m: F.trim(F.regexp_replace(F.concat(m["html"], piece(m["at"], x["stop"])), r"(?U)\s+", " ")))
+        return let(made, lambda m: F.trim(F.regexp_replace(F.concat(m["html"], piece(m["at"], x["stop"])), r"(?U)\s+", " ")))
 
-    found = _let(F.struct(base.alias("text"), F.array_sort(F.array_compact(F.array(*spans))).alias("found")), lambda x: F.when(F.size(x["found"]) > 0, x))
-    return _let(found, lambda x: F.when(x.isNotNull(), _let(bounds(x), marked)))
+    found = let(F.struct(base.alias("text"), F.array_sort(F.array_compact(F.array(*spans))).alias("found")), lambda x: F.when(F.size(x["found"]) > 0, x))
+    return let(found, lambda x: F.when(x.isNotNull(), let(bounds(x), marked)))

@@ -59,6 +59,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(c) -> Column:
     """Without accents and compatibility forms."""
     base = _col(c)

@@ -104,3 +104,19 @@ def stale(runs: DataFrame, sources: DataFrame, now: str, hours: dict[str, int])
     limit = F.create_map(*[x for k, v in hours.items() for x in (F.lit(k), F.lit(v * 3600))])
     age = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("last_ok")
     return sources.join(last, "source", "left").withColumn("stale", F.coalesce(age > F.try_element_at(limit, F.col("cadence")), F.lit(True)))
+
+
+def fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """With columns that are made once a row: later filters and expressions that name them often don't have them made again."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """All rows with their place, from 1, in an order of columns that tells every row apart. Dealt by ranges; the driver sees a number a partition."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
+    counts = {r["__part"]: r.n for r in rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [sum(n for p, n in counts.items() if p < k) for k in range(max(counts, default=0) + 1)]
+    return rows.withColumn(out, F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__part")) + F.col("__place") + 1).drop("__part", "__place")

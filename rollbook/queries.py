@@ -23,15 +23,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import cases, consolidations, routes
+    from . import cases, consolidations, journal, routes
 
-    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK
+    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK | journal.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import cases, consolidations, routes
+    from . import cases, consolidations, journal, routes
 
-    return SQL | cases.SQL | consolidations.SQL | routes.SQL
+    return SQL | cases.SQL | consolidations.SQL | routes.SQL | journal.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -280,10 +280,13 @@ def components(spark, sf_dir):
 
 
 def ready(spark: SparkSession) -> None:
-    """A checkpoint folder, where the session names none."""
+    """A checkpoint folder where the session names none and all runs in one process (tests); on a cluster it must name a shared one."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rollbook-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
