@@ -8,6 +8,8 @@ may be very long.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -21,10 +23,14 @@ BATCH_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application in the session's shared checkpoint folder, without which nothing is written."""
+    """A folder of this application in the session's shared checkpoint folder. Where none is set, a temporary one if all runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rollbook-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rollbook-{spark.sparkContext.applicationId}"
 
 
