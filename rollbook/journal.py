@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import awards
-from .operators import facilities, headings, projects, tables
+from .operators import facilities, fulltext, headings, projects, tables
 from .queries import ready, t
 from .views import ctes, view
 
@@ -170,3 +170,47 @@ def linear_works(spark, sf_dir):
     a, b = F.initcap("a_name"), F.initcap("b_name")
     title = F.when(F.col("k") == 0, F.concat(F.lit("Bitumage de la route "), a, F.lit("-"), b, F.lit(", lot 2"))).when(F.col("k") == 1, F.concat(F.lit("Pont entre "), a, F.lit(" et "), b)).when(F.col("k") == 2, F.concat(F.lit("Travaux de la piste rurale de "), a, F.lit(" à "), b, F.lit("."))).otherwise(F.concat(F.lit("Marché de "), a))
     return facilities.linear_ends(work.select("id", title.alias("title")), places, "id", "title").select("id", F.col("from_id").alias("from_id"), "to_id")
+
+
+#: Words as SQL sees them; the stems that queries ask for are those of few words, which the SQL lists.
+PLACES = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+p AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word, len(w) AS n FROM d),
+a AS (SELECT doc_id, place FROM p WHERE word IN ('license', 'licenses')),
+b AS (SELECT p.doc_id, p.place FROM p JOIN p AS q ON q.doc_id = p.doc_id AND q.place = p.place + 1 AND p.word = 'apache' AND q.word IN ('license', 'licenses')),
+c AS (SELECT doc_id, place FROM p WHERE word IN ('version', 'versions'))"""
+FULLTEXT = 'version "apache license" -idiot'
+
+
+def _index(spark, sf_dir, name):
+    import uuid
+
+    ready(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fulltext.write_index(t(spark, sf_dir, "documents"), path)
+    return path
+
+
+def _found(spark, sf_dir, query):
+    path = _index(spark, sf_dir, "fulltext")
+    return fulltext.search(fulltext.postings(spark, path, fulltext.asked(query).stems()), query)
+
+
+@query(PLACES + """, e AS (SELECT doc_id, place, 0 AS g FROM c UNION ALL SELECT doc_id, place, 1 FROM b),
+o AS (SELECT *, lead(place) OVER w AS np, lead(g) OVER w AS ng FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY place, g))
+SELECT doc_id AS id, round(sum(0.1::DOUBLE / (1 + greatest(np - place - 1, 0))), 6) AS rank FROM o WHERE g <> ng AND doc_id NOT IN (SELECT doc_id FROM p WHERE word IN ('idiot', 'idiots', 'idiote', 'idiotes')) GROUP BY doc_id""")
+def fulltext_search(spark, sf_dir):
+    return _found(spark, sf_dir, FULLTEXT).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(PLACES + """, e AS (SELECT doc_id, place FROM a UNION SELECT doc_id, place FROM c)
+SELECT doc_id AS id, round(count(*) * 0.1::DOUBLE, 6) AS rank, min(place)::INT AS "begin" FROM e GROUP BY doc_id ORDER BY rank DESC, id LIMIT 20""")
+def fulltext_either(spark, sf_dir):
+    return _found(spark, sf_dir, "les licenses OR versions").select("id", F.round("rank", 6).alias("rank"), "begin").orderBy(F.desc("rank"), "id").limit(20)
+
+
+@query(PLACES + """, r AS (SELECT doc_id, count(*) AS k, min(place) AS place FROM a GROUP BY doc_id ORDER BY k DESC, doc_id LIMIT 8)
+SELECT r.doc_id AS id, array_to_string(list_transform(x[greatest(place - 6, 0) + 1 : greatest(place - 6, 0) + 28], lambda w: CASE WHEN lower(w) IN ('license', 'licenses') THEN '<mark>' || w || '</mark>' ELSE w END), ' ') AS headline
+FROM r JOIN (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS x FROM documents) USING (doc_id)""".replace("\\\\", "\\"))
+def fulltext_headlines(spark, sf_dir):
+    found = _found(spark, sf_dir, "licenses").orderBy(F.desc("rank"), "id").limit(8)
+    return fulltext.headlines(found, t(spark, sf_dir, "documents")).select("id", "headline")
