@@ -23,15 +23,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import cases, consolidations, journal, routes
+    from . import cases, consolidations, exchange, journal, routes
 
-    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK | journal.SPARK
+    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK | journal.SPARK | exchange.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import cases, consolidations, journal, routes
+    from . import cases, consolidations, exchange, journal, routes
 
-    return SQL | cases.SQL | consolidations.SQL | routes.SQL | journal.SQL
+    return SQL | cases.SQL | consolidations.SQL | routes.SQL | journal.SQL | exchange.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
