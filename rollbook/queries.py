@@ -23,15 +23,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import cases, consolidations, exchange, journal, routes
+    from . import cases, consolidations, exchange, journal, routes, ruled
 
-    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK | journal.SPARK | exchange.SPARK
+    return SPARK | cases.SPARK | consolidations.SPARK | routes.SPARK | journal.SPARK | exchange.SPARK | ruled.SPARK
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import cases, consolidations, exchange, journal, routes
+    from . import cases, consolidations, exchange, journal, routes, ruled
 
-    return SQL | cases.SQL | consolidations.SQL | routes.SQL | journal.SQL | exchange.SQL
+    return SQL | cases.SQL | consolidations.SQL | routes.SQL | journal.SQL | exchange.SQL | ruled.SQL
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
