@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import awards
-from .operators import facilities, fulltext, headings, projects, tables
+from .operators import facilities, fulltext, headings, projects, search, tables
 from .queries import ready, t
 from .views import ctes, view
 
@@ -214,3 +214,14 @@ FROM r JOIN (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS x FRO
 def fulltext_headlines(spark, sf_dir):
     found = _found(spark, sf_dir, "licenses").orderBy(F.desc("rank"), "id").limit(8)
     return fulltext.headlines(found, t(spark, sf_dir, "documents")).select("id", "headline")
+
+
+@query("SELECT doc_id, source FROM documents WHERE text ILIKE '%apache%icense%' OR source ILIKE '%apache%icense%'")
+def contained_by_index(spark, sf_dir):
+    import uuid
+
+    ready(spark)
+    d = t(spark, sf_dir, "documents")
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/grams-{uuid.uuid4().hex}"
+    search.write_gram_index(d, path, "doc_id", ["text", "source"])
+    return search.containing(d, path, "doc_id", ["text", "source"], "apache%icense").select("doc_id", "source")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,8 @@ def amount_proximity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit(0)) == 0) | (F.coalesce(b, F.lit(0)) == 0), None).when(ratio <= 1.1, 1.0).when(ratio >= 10, 0.0).otherwise(1 - (ratio - 1.1) / 8.9)
 
 
-#: A common word must be at least so rare for a pair to count in full: one in some 67 pieces has it.
-TELLING = 4.1997050778799272
+#: A common word must be at least so rare for a pair to count in full: 15 in a thousand pieces have it.
+TELLING = -math.log(0.015)
 #: What a pair without such a word, an amount that fits, dates out of order and sectors are worth.
 COMMON, AMOUNT, REVERSED, SAME, OTHER = 0.6, 0.15, 0.10, 0.05, 0.10
 
@@ -133,21 +135,20 @@ def canonical(df: DataFrame, id_col: str, pointer: str) -> DataFrame:
 def geocode(places: DataFrame, gazetteer: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(key, place_id, similarity): the exact name with most people, else the most similar one that reaches the threshold.
 
-    ``places`` has (key), ``gazetteer`` (place_id, key, population). Empty keys find nothing.
+    ``places`` has (key), ``gazetteer`` (place_id, key, population). Empty keys find nothing. Similarities have four places; of
+    equal ones the place with most people counts, then the smallest id.
     """
     wanted = places.select("key").where("key <> ''").distinct()
     order = [F.col("population").desc_nulls_last(), F.col("place_id")]
     exact = wanted.join(gazetteer, "key").withColumn("similarity", F.lit(1.0))
     exact = exact.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("k = 1").select("key", "place_id", "similarity")
     rest = wanted.join(exact, "key", "left_anti")
-    names = rest.select("key").union(gazetteer.select("key")).distinct().select("key", trigrams("key").alias("g"))
-    a = rest.join(names, "key").select("key", F.col("g").alias("ga"), F.explode("g").alias("gram"))
-    b = gazetteer.select("place_id", "population", F.col("key").alias("name")).join(names.withColumnRenamed("key", "name"), "name").select("place_id", "population", F.col("g").alias("gb"), F.explode("g").alias("gram"))
-    pairs = a.join(b, "gram").select("key", "place_id", "population", "ga", "gb").dropDuplicates(["key", "place_id"])
-    shared = F.size(F.array_intersect("ga", "gb"))
-    pairs = pairs.withColumn("similarity", shared / (F.size("ga") + F.size("gb") - shared)).where(F.col("similarity") >= threshold)
+    # only names that share one of their rarest trigrams meet, each different name once
+    names = gazetteer.select("key").where("key <> ''").distinct()
+    near = trigram_join(rest.select(F.col("key").alias("id")), names.select(F.col("key").alias("id")), "id", F.col("id"), threshold)
+    pairs = near.select(F.col("a").alias("key"), F.col("b").alias("name"), "similarity").join(gazetteer.select("place_id", "population", F.col("key").alias("name")), "name")
     best = pairs.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.col("similarity").desc(), *order))).where("k = 1")
-    return exact.unionByName(best.select("key", "place_id", F.round("similarity", 4).alias("similarity")))
+    return exact.unionByName(best.select("key", "place_id", "similarity"))
 
 
 def keyword_windows(docs: DataFrame, id_col: str, text: str, word: str, before: int, after: int) -> DataFrame:

@@ -29,16 +29,16 @@ def with_counts(parent: DataFrame, key: str, **children: tuple[DataFrame, str])
 
 
 def facets(df: DataFrame, filters: dict[str, str | None]) -> DataFrame:
-    """(facet, value, n): each dimension counted under the filters of the others."""
-    out = None
+    """(facet, value, n): each dimension counted under the filters of the others, in one pass: a row counts for a facet if it meets all filters but that facet's."""
+    held = {name: F.lit(True) if value is None else F.coalesce(F.col(name) == value, F.lit(False)) for name, value in filters.items()}
+    entries = []
     for name in filters:
-        rows = df
-        for other, value in filters.items():
-            if other != name and value is not None:
-                rows = rows.where(F.col(other) == value)
-        part = rows.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("facet"), "value", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+        others = F.lit(True)
+        for other, meets in held.items():
+            others = others if other == name else others & meets
+        entries.append(F.when(others, F.struct(F.lit(name).alias("facet"), F.col(name).cast("string").alias("value"))))
+    rows = df.select(*filters).select(F.explode(F.array_compact(F.array(*entries))).alias("f"))
+    return rows.groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:

@@ -103,3 +103,40 @@ def headline(c, query: str, around: int = 90) -> Column:
     at = F.regexp_instr(base, F.lit(pattern))
     passage = F.substring(base, F.greatest(at - around, F.lit(1)), F.lit(2 * around))
     return F.regexp_replace(passage, pattern, "<mark>$1</mark>")
+
+
+#: Characters of a piece that the index of contained texts is made of, and the folders it is dealt to.
+GRAM, GRAM_BUCKETS = 3, 64
+
+
+def _grams(c: Column) -> Column:
+    """The different stretches of GRAM characters of a text in lower case, found from left to right in one go."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def write_gram_index(df: DataFrame, path: str, id_col: str, columns: list[str]) -> None:
+    """(bucket, gram, field, id) of all texts of these columns, as Parquet in folders by gram. Null texts and ids have none."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("x"))
+    each = rows.where("x.text IS NOT NULL").select("id", "x.field", F.explode(_grams(F.col("x.text"))).alias("gram"))
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int"))
+    dealt = each.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram", "id")
+    dealt.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def containing(df: DataFrame, path: str, id_col: str, columns: list[str], needle: str) -> DataFrame:
+    """The rows of which one of the columns contains the needle, in any case, as ``records.contains_any`` finds them, by the index of :func:`write_gram_index`.
+
+    Rows that have all the needle's grams in one column are candidates and are looked at. Grams are taken from between the
+    wildcards % and _; a needle without any, or with letters whose case is written otherwise than by single characters, is looked for in all rows.
+    """
+    from .records import contains_any
+
+    plain = [p.lower() for p in re.split(r"[%_\\]", needle)]
+    grams = sorted({p[k : k + GRAM] for p in plain for k in range(len(p) - GRAM + 1)})
+    if not grams or any(len(c.lower()) != 1 or len(c.upper()) != 1 for c in needle):
+        return df.where(contains_any(columns, needle))
+    spark = df.sparkSession
+    buckets = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int")).distinct().collect()]
+    found = spark.read.parquet(path).where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams) & F.col("field").isin(columns))
+    whole = found.groupBy("field", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select(F.col("id").alias("__id")).distinct()
+    return df.join(whole, F.col(id_col) == F.col("__id"), "left_semi").where(contains_any(columns, needle))

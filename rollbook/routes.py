@@ -62,10 +62,10 @@ def awards_page(award: DataFrame, *, sort: str = "date", number: int = 1, size:
     return records.page(rows, [*order, F.col("id").desc()], number, size), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-@route("award", sql="""SELECT id, object, awardee, amount, day FROM award WHERE status = 'valid' AND nature = 'attribution' AND (object ILIKE '%a%' OR awardee ILIKE '%a%' OR authority ILIKE '%a%') AND region = 'ASIA' AND year(day) = 1994
+@route("award", sql="""SELECT id, object, awardee, amount, day FROM award WHERE status = 'valid' AND nature = 'attribution' AND (object ILIKE '%a%' OR awardee ILIKE '%a%' OR authority ILIKE '%a%') AND region = 'ASIA' AND year(day) = 1996
 ORDER BY amount DESC NULLS LAST, id DESC LIMIT 10 OFFSET 10""")
 def route_awards(award):
-    return awards_page(award, q="a", region="ASIA", year=1994, sort="amount", number=2, size=10)[0].select("id", "object", "awardee", "amount", "day")
+    return awards_page(award, q="a", region="ASIA", year=1996, sort="amount", number=2, size=10)[0].select("id", "object", "awardee", "amount", "day")
 
 
 @route("award", sql="""SELECT count(*) AS total FROM award WHERE status = 'valid' AND year(day) = 1995""")

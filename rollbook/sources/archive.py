@@ -22,8 +22,9 @@ def raw_files(spark: SparkSession, folder: str, slug: str, pattern: str = "*") -
 
 
 def links(html: Column, base: Column | None = None) -> Column:
-    """The distinct href values in their order; with a base those that begin with / are put behind its host. Null: none."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit('href="([^"]*)"'), F.lit(1)))
+    """The distinct href values in their order, in either quotes or none; with a base those that begin with / are put behind its host. Null: none."""
+    each = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    found = F.array_distinct(F.transform(each, lambda x: F.regexp_replace(x, r"""^["']|["']$""", "")))
     if base is None:
         return found
     host = F.regexp_extract(base, "^([a-z]+://[^/]+)", 1)

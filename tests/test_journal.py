@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions.stems import stem
-from rollbook.operators import facilities, fulltext, headings, projects, tables
+from rollbook.operators import facilities, fulltext, headings, projects, records, search, tables
 
 HEAD = [["COMMUNE DE MANGA", None], ["Demande de prix n°2026-01/X pour la construction de deux salles Financement : budget", None]]
 COLUMNS = ["Soumissionnaires", "Montants lus", "Appréciation"]
@@ -100,3 +100,22 @@ def test_cover_density(spark):
     have = {r.id: (round(r.rank, 6), r.begin, r.end) for r in fulltext.scan(df, "alpha beta").collect()}
     # alpha-beta, and beta-alpha over two words; one stretch with a word between; three that touch
     assert have == {1: (round(0.1 + 0.1 / 3, 6), 0, 1), 2: (0.05, 0, 2), 4: (0.3, 0, 1)}
+
+
+def test_contained_texts_by_index_are_those_of_a_scan(spark, new_folder):
+    rng = random.Random(9)
+    rows = [(k, "".join(rng.choice("abÉé %_x\n") for _ in range(rng.randint(0, 30))), rng.choice(["Abc abc", "", None])) for k in range(150)] + [(None, "abc", "abc"), (500, None, None)]
+    df = spark.createDataFrame(rows, "id long, t string, u string")
+    path = f"file://{new_folder}/grams"
+    search.write_gram_index(df, path, "id", ["t", "u"])
+    for needle in ("abc", "BÉÉ", "ab%xa", "a", "", "a_b", "éab", "%bab%", "zzz", "ß", "bc a"):
+        want = {r.id for r in df.where(records.contains_any(["t", "u"], needle)).collect()} - {None}
+        assert {r.id for r in search.containing(df, path, "id", ["t", "u"], needle).collect()} - {None} == want, needle
+
+
+def test_facets_in_one_pass(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), ("a", None)]
+    df = spark.createDataFrame(rows, "p string, q string")
+    have = {(r.facet, r.value): r.n for r in records.facets(df, {"p": "a", "q": "x"}).collect()}
+    assert have == {("p", "a"): 1, ("p", "b"): 1, ("p", None): 1, ("q", "x"): 1, ("q", "y"): 1, ("q", None): 1}
+    assert {(r.facet, r.value): r.n for r in records.facets(df, {"p": None}).collect()} == {("p", "a"): 3, ("p", "b"): 1, ("p", None): 1}
