@@ -70,7 +70,9 @@ def fold(c) -> Column:
     whole = base
     for x, y in SEVERAL.items():
         whole = F.replace(whole, F.lit(x), F.lit(y))
-    return F.translate(F.when(base.rlike("[" + "".join(SEVERAL) + "]"), whole).otherwise(base), FROM, TO)
+    folded = F.translate(F.when(base.rlike("[" + "".join(SEVERAL) + "]"), whole).otherwise(base), FROM, TO)
+    # what is all ASCII has nothing to fold
+    return F.when(F.octet_length(base) == F.length(base), base).otherwise(folded)
 
 
 def squeeze(c: Column) -> Column:

@@ -29,18 +29,32 @@ def suppliers(raw: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def resolved(df: DataFrame, id_col: str, pointer: str) -> DataFrame:
-    """(id, root): where the pointers lead from each row. In a circle the way ends where it comes by again; a pointer to nowhere ends at what it names."""
-    links = df.where(F.col(pointer).isNotNull()).select(F.col(id_col).alias("from"), F.col(pointer).alias("to"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(id_col).alias("at"), F.array(F.col(id_col)).alias("way"))
-    done = None
+    """(id, root): where the pointers lead from each row. In a circle the way ends where it comes by again; a pointer to nowhere ends at what it names.
+
+    Each round doubles the steps that a row has taken, so a chain takes as many rounds as its length has binary digits. The few
+    rows that go round in circles are followed step by step.
+    """
+    links = df.where(F.col(pointer).isNotNull()).select(F.col(id_col).alias("from"), F.col(pointer).alias("to")).checkpoint()
+    rows, size = df.select(F.col(id_col).alias("id")), links.count()
+    jumps, steps = links, 1
     while True:
-        step = rows.join(links, F.col("at") == F.col("from"), "left").checkpoint()
+        # where a row is after so many steps, or where its way ended before
+        onward = jumps.select(F.col("from").alias("via"), F.col("to").alias("then"))
+        moved = jumps.join(onward, F.col("to") == F.col("via"), "left").select("from", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("open")).checkpoint()
+        jumps, steps = moved.drop("open"), steps * 2
+        if steps > size or moved.where("open").limit(1).count() == 0:
+            break
+    # who still has a way to go after more steps than there are pointers is in a circle, or leads into one
+    endless = jumps.join(links.select(F.col("from").alias("next")), F.col("to") == F.col("next"), "left_semi").select("from")
+    straight = rows.join(jumps, F.col("id") == F.col("from"), "left").join(endless.withColumnRenamed("from", "endless"), F.col("id") == F.col("endless"), "left_anti").select("id", F.coalesce("to", "id").alias("root"))
+    way = rows.join(endless, F.col("id") == F.col("from"), "left_semi").select("id", F.col("id").alias("at"), F.array("id").alias("way"))
+    done = straight
+    while way.limit(1).count():
+        step = way.join(links, F.col("at") == F.col("from"), "left").checkpoint()
         again = F.array_contains("way", F.col("to"))
-        ended = step.where(F.col("to").isNull() | again).select("id", F.coalesce("to", "at").alias("root"))
-        done = ended if done is None else done.union(ended)
-        rows = step.where(F.col("to").isNotNull() & ~again).select("id", F.col("to").alias("at"), F.array_append("way", F.col("to")).alias("way"))
-        if rows.limit(1).count() == 0:
-            return done
+        done = done.union(step.where(F.col("to").isNull() | again).select("id", F.coalesce("to", "at").alias("root")))
+        way = step.where(F.col("to").isNotNull() & ~again).select("id", F.col("to").alias("at"), F.array_append("way", F.col("to")).alias("way"))
+    return done
 
 
 def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.offices import FUNCTIONS, OTHER_FUNCTION, function_category, institution_type, portfolio
 from .functions.papers import rfc822
-from .operators import records
+from .operators import institutions, records
 from .operators.search import matches, ranked
 from .views import ctes, display_name, view
 
@@ -336,3 +336,40 @@ SELECT id, round((a + b) / (1 + ln(n)), 6) AS rank FROM h WHERE a > 0 AND b > 0
 def route_search(paper):
     """Papers that hold all the words of a search and none of those behind a minus, best first."""
     return ranked(matches(paper, "text", "idiot the -apache"), "text", "idiot the -apache").select("id", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
+
+
+#: All ministries of the view are one portfolio, which a post of the government names.
+DIRECTORY = """+ c AS (SELECT s.id AS sid, k.id, k.name, nullif(k.acronym, '') AS acronym FROM structure s JOIN structure k ON k.id = coalesce(s.canonical_id, s.id)),
+t AS (SELECT c.*, CASE WHEN name LIKE 'Ministère%' THEN 'nation' ELSE '#' || c.id END AS key, person_id, "begin", done, post FROM tenure JOIN c ON c.sid = structure_id),
+g AS (SELECT key, id, name, acronym, count(DISTINCT person_id) FILTER (done IS NULL) AS n, max("begin") AS last FROM t GROUP BY ALL),
+v AS (SELECT key, list(id ORDER BY last DESC, n DESC, id) AS ids, list(name ORDER BY last DESC, n DESC, id) AS names, list(acronym ORDER BY last DESC, n DESC, id) AS acronyms FROM g GROUP BY key),
+a AS (SELECT key, count(DISTINCT person_id) FILTER (done IS NULL) AS agents FROM t GROUP BY key)"""
+TITLE = "Ministère de NATION_9"
+
+
+@route("structure", "tenure", sql=f"""{DIRECTORY}, d AS (SELECT ids[1] AS id, CASE WHEN key = 'nation' THEN ['{TITLE}'] || list_filter(names, lambda x: x <> '{TITLE}') ELSE names END AS titles, CASE WHEN key <> 'nation' THEN acronyms[1] END AS acronym,
+CASE WHEN key = 'nation' THEN 'ministere' WHEN names[1] LIKE 'Région%' THEN 'territoriale' ELSE 'etablissement' END AS kind, agents, key = 'nation' AS official, list_sort(ids) AS variants FROM v JOIN a USING (key))
+SELECT id, titles[1] AS name, acronym, kind, agents, array_to_string(titles, '|') AS titles, official, variants FROM d""")
+def route_directory(structure, tenure):
+    """Institutions with all their names, under the title that the government uses today."""
+    made = institutions.index(structure, tenure, _posts(structure))
+    return made.withColumn("titles", F.array_join("titles", "|"))
+
+
+@route("structure", "tenure", sql=f"""{DIRECTORY} SELECT ids[1] AS id, CASE WHEN key = 'nation' THEN '{TITLE}' ELSE names[1] END AS name, agents FROM v JOIN a USING (key)
+WHERE len(list_filter(names, lambda x: contains(lower(x), 'nation_1'))) > 0""")
+def route_directory_searched(structure, tenure):
+    return institutions.index(structure, tenure, _posts(structure), "Nation_1").select("id", "name", "agents")
+
+
+def _posts(structure):
+    said = F.when(F.col("id") == 9, F.concat(F.lit("Ministre de "), F.substring_index("name", " ", -1), F.lit(", porte-parole du gouvernement"))).otherwise("Directeur de cabinet")
+    return structure.where("id < 12").select(said.alias("post"))
+
+
+@route("structure", "tenure", sql=f"""{DIRECTORY}, x AS (SELECT key, CASE post WHEN 'Administrateur' THEN 'Conseils d''administration' WHEN 'Conseiller' THEN 'Cabinet & conseil' ELSE 'Direction & encadrement' END AS category, person_id, bool_or(done IS NULL) AS now FROM t GROUP BY ALL)
+SELECT key, category, CASE category WHEN 'Conseils d''administration' THEN 2 WHEN 'Cabinet & conseil' THEN 3 ELSE 4 END AS place, count(*) FILTER (now) AS current, count(*) FILTER (NOT now) AS former FROM x GROUP BY ALL""")
+def route_staff(structure, tenure):
+    """Who serves and served at an institution under any of its names, by category of function."""
+    rows = institutions.staff(structure, tenure)
+    return rows.groupBy("key", "category", "place").agg(F.count_if("now").alias("current"), F.count_if(~F.col("now")).alias("former"))
