@@ -201,17 +201,17 @@ def decisions_exploded(spark, sf_dir):
     """The entries of structured papers; malformed ones and entries without an object give none."""
     second = F.when(F.col("event_id") % 2 == 0, "second").otherwise("")
     text = F.when(F.col("event_id") % 9 == 0, '{"decisions": [').otherwise(F.concat(F.lit('{"decisions": [{"object": "'), F.col("event_type"), F.lit('", "kind": "x"}, {"object": "'), second, F.lit('", "kind": "y"}, {"kind": "z"}]}')))
-    e = t(spark, sf_dir, "events").select("event_id", F.from_json(text, "decisions array<struct<object: string, kind: string>>").alias("s"))
-    rows = e.select("event_id", F.explode("s.decisions").alias("d")).select("event_id", "d.*")
-    return rows.where(F.coalesce(F.trim("object"), F.lit("")) != "").select("event_id", "object", "kind")
+    papers = t(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return records.exploded(papers, "event_id", "text", "decisions", "object: string, kind: string", ["object"]).drop("nth")
 
 
 @job("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND value >= 0.85 THEN 'attribution' WHEN value >= 0.85 THEN 'preselection' ELSE 'unchanged' END AS nature, event_type = 'purchase' AND value >= 0.85 AS accepted FROM events""")
 def verdicts_applied(spark, sf_dir):
-    """What reviews change: only verdicts of enough confidence do."""
-    sure = F.col("value") >= 0.85
-    nature = F.when(sure & F.col("event_type").isin("view", "click"), "attribution").when(sure, "preselection").otherwise("unchanged")
-    return t(spark, sf_dir, "events").select("event_id", nature.alias("nature"), ((F.col("event_type") == "purchase") & sure).alias("accepted"))
+    """What reviews change, and which pairs they accept: only verdicts of enough confidence do."""
+    e = t(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    rows = records.judged(e.withColumn("verdict", F.col("event_type") == "purchase"), confidence="value").withColumn("nature", F.lit("unchanged"))
+    said = F.when(F.col("event_type").isin("view", "click"), "attribution").otherwise("preselection")
+    return records.reviewed(rows, e.select("event_id", said.alias("said"), F.col("value").alias("confidence")), "event_id", "nature").select("event_id", "nature", "accepted")
 
 
 @job("""WITH f AS (SELECT p_partkey AS id, p_type AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'Commune de ' || n_name WHEN p_partkey % 3 = 1 THEN 'nowhere ' || (p_partkey % 4) END AS place, n_nationkey, CASE WHEN p_size % 5 <> 0 THEN DATE '2024-01-01' + (p_size % 3)::INT END AS day FROM part JOIN nation ON n_nationkey = p_partkey % 25),

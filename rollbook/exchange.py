@@ -9,11 +9,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions.text import html_text
-from .operators import merge
+from .functions.text import html_text, place_key
+from .operators import merge, records
 from .operators.records import published
 from .queries import ready, t
-from .sources import exports, feeds, recorded
+from .sources import exports, feeds, recorded, seeds
 from .views import ctes, view
 
 SPARK, SQL = {}, {}
@@ -233,3 +233,72 @@ def proposals_written(spark, sf_dir):
     path = new_folder(spark, "proposals")
     exports.write_csv(made, path, exports.PROPOSALS, [-F.col("similarite").cast("double"), F.col("id_source")], parts=2)
     return read_back(spark, path, exports.PROPOSALS)
+
+
+def gazetteer_lines(spark, sf_dir):
+    """A gazetteer as CSV: a line for each part, of which every ninth has no number for its latitude."""
+    p = t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    line = F.concat_ws(",", F.concat(F.lit('" Ville d\'Or'), k, F.lit(' "')), F.lit("commune"), F.when(k % 2 == 0, F.concat(F.lit("R"), k % 13)).otherwise(""), F.lit(""), F.when(k % 9 == 0, "north").otherwise((k % 90).cast("string")), F.lit("-1.5"), F.when(k % 3 == 0, "").otherwise(k.cast("string")))
+    path = new_folder(spark, "gazetteer")
+    head = spark.createDataFrame([("nom,type,region,province,latitude,longitude,population",)], "line string")
+    head.union(p.select(line.alias("line"))).coalesce(1).write.text(path)
+    return seeds.seed_file(spark, path, seeds.GAZETTEER)
+
+
+@query("""SELECT 'Ville d''Or' || p_partkey AS name, 'or' || p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'R' || p_partkey % 13 END AS region, (p_partkey % 90)::DOUBLE AS latitude, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS population
+FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 7 <> 0""")
+def gazetteer_seeded(spark, sf_dir):
+    there = t(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("or"), "p_partkey").alias("key"), F.lit("commune").alias("type"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("R"), F.col("p_partkey") % 13)).alias("region"))
+    return seeds.gazetteer(gazetteer_lines(spark, sf_dir), there)[0].select("name", "key", "region", "latitude", "population")
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_partkey % 9 = 0")
+def gazetteer_corrupt(spark, sf_dir):
+    there = spark.createDataFrame([], "key string, type string, region string")
+    return seeds.gazetteer(gazetteer_lines(spark, sf_dir), there)[1].agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN p_size % 2 = 0 THEN 'pont' ELSE 'route' END AS kind, 'Ouvrage ' || p_partkey AS title, n_name AS place, 'Transport & mobilité' AS sector, CASE WHEN p_size % 3 = 0 THEN p_partkey END AS amount, 'valid' AS status, DATE '2020-01-01' + p_size AS day
+FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE p_partkey % 5 <> 0""")
+def facilities_curated(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    rows = t(spark, sf_dir, "part").join(n, F.col("n_nationkey") == F.col("p_partkey") % 25)
+    lines = rows.select(F.when(F.col("p_size") % 2 == 0, "pont").otherwise("route").alias("type"), F.format_string(" Ouvrage %s", "p_partkey").alias("titre"), F.lit("").alias("description"), F.lit("inauguration").alias("statut"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("date"), F.concat(F.lit("Commune de "), "n_name").alias("lieu"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey")).alias("montant_fcfa"), F.lit("u").alias("source_url"))
+    path = new_folder(spark, "curated")
+    lines.write.option("header", True).option("quoteAll", True).option("nullValue", "").csv(path)
+    there = rows.where("p_partkey % 5 = 0").select(F.format_string("Ouvrage %s", "p_partkey").alias("title"))
+    places = n.select(F.col("n_nationkey").cast("long").alias("place_id"), F.col("n_name").alias("name"), place_key("n_name").alias("key"), F.lit("r").alias("region"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit(1).cast("long").alias("population"))
+    return seeds.curated(seeds.seed_file(spark, path, seeds.CURATED), there, places)[0].select("kind", "title", "place", "sector", "amount", "status", "day")
+
+
+QUEUED = {"appointments": ("events", "event_id", "value / 100"), "awards": ("lineitem", "l_orderkey", "l_discount * 10"), "people": ("customer", "c_custkey", "c_acctbal / 10000"), "decisions": ("orders", "o_orderkey", "o_totalprice / 500000"), "facilities": ("part", "p_partkey", "p_size / 50.0"), "budgets": ("supplier", "s_suppkey", "s_acctbal / 10000"), "texts": ("documents", "doc_id", "n_chars / 20000.0"), "members": ("nation", "n_nationkey", "n_nationkey / 25.0")}
+
+
+def queued(spark, sf_dir) -> dict:
+    """Eight kinds of facts, of which every third is valid and every fifth has no score."""
+    status = lambda k: F.when(F.col(k) % 3 == 0, "valid").when(F.col(k) % 3 == 1, "pending").otherwise("rejected")
+    return {name: t(spark, sf_dir, table).select(status(k).alias("status"), F.when(F.col(k) % 5 != 0, F.expr(score).cast("double")).alias("confidence")) for name, (table, k, score) in QUEUED.items()}
+
+
+SIX = list(QUEUED)[:6]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS queue, count(*) FILTER ({QUEUED[n][1]} % 3 = 1) AS n FROM {QUEUED[n][0]}" for n in SIX))
+def review_queues(spark, sf_dir):
+    return records.pending_queues({n: df for n, df in queued(spark, sf_dir).items() if n in SIX})
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS kind, count(*) FILTER ({k} % 3 = 1 AND {k} % 5 <> 0 AND ({score})::DOUBLE >= 0.5) AS validated, count(*) FILTER ({k} % 3 = 1 AND {k} % 5 = 0) AS without_score, count(*) FILTER ({k} % 3 = 1 AND NOT coalesce({k} % 5 <> 0 AND ({score})::DOUBLE >= 0.5, false)) AS remaining FROM {table}" for n, (table, k, score) in QUEUED.items()))
+def bulk_reported(spark, sf_dir):
+    return records.bulk_report(queued(spark, sf_dir), 0.5)
+
+
+@query("""SELECT ceil(n / 20.0)::INT AS page, ceil(total / 20.0)::INT AS pages, total, n AS place, id, name, acronym FROM (SELECT p_partkey AS id, p_name || ' "' || p_brand || '"' AS name, CASE WHEN p_size % 2 = 0 THEN p_type END AS acronym, row_number() OVER (ORDER BY p_name, p_partkey) AS n, count(*) OVER () AS total FROM part)""")
+def json_answers(spark, sf_dir):
+    """Every page of a listing as JSON, read back."""
+    ready(spark)
+    rows = t(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("id"), F.format_string('%s "%s"', "p_name", "p_brand").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("acronym"))
+    made = records.answers(rows, ["id", "name", "acronym"], ["p_name", "id"])
+    read = made.select(F.from_json("body", "page int, pages int, total long, rows array<struct<id: bigint, name: string, acronym: string>>").alias("b"))
+    return read.select("b.page", "b.pages", "b.total", F.posexplode("b.rows").alias("k", "r")).select("page", "pages", "total", ((F.col("page") - 1) * 20 + F.col("k") + 1).cast("long").alias("place"), "r.*")

@@ -120,3 +120,64 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     counts = {r["__part"]: r.n for r in rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before = [sum(n for p, n in counts.items() if p < k) for k in range(max(counts, default=0) + 1)]
     return rows.withColumn(out, F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__part")) + F.col("__place") + 1).drop("__part", "__place")
+
+
+def pending_queues(queues: dict[str, DataFrame], status: str = "status") -> DataFrame:
+    """(queue, n): how many rows of each wait for review; a queue without any has 0."""
+    each = [df.agg(F.count_if(F.col(status) == PENDING).alias("n")).select(F.lit(name).alias("queue"), "n") for name, df in queues.items()]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def bulk_report(kinds: dict[str, DataFrame], least: float, without_score: bool = False, status: str = "status", score: str = "confidence") -> DataFrame:
+    """(kind, validated, without_score, remaining) of putting all pending rows of at least this score to valid, by kind.
+
+    ``without_score`` counts the pending rows that have none; they are validated as well if that is asked for.
+    """
+    waits, none = F.col(status) == PENDING, F.col(score).isNull()
+    good = waits & F.coalesce(F.col(score) >= least, F.lit(without_score))
+    out = None
+    for name, df in kinds.items():
+        row = df.agg(F.count_if(good).alias("validated"), F.count_if(waits & none).alias("without_score"), F.count_if(waits & ~good).alias("remaining")).select(F.lit(name).alias("kind"), "validated", "without_score", "remaining")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def answers(df: DataFrame, columns: list[str], order: list[str], size: int = 20) -> DataFrame:
+    """(page, body): every page of a listing as a JSON answer with its page, the number of pages and rows in all, and its rows in order; ``order`` tells every row apart."""
+    size = min(max(size, 1), 100)
+    rows = numbered(df, order, "__n")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    item = F.struct("__n", F.struct(*columns).alias("item"))
+    pages = rows.groupBy(F.ceil(F.col("__n") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("rows"))  # at most 100 rows a page
+    body = F.struct("page", F.ceil(F.col("total") / size).cast("int").alias("pages"), "total", F.transform("rows", lambda x: x["item"]).alias("rows"))
+    return pages.join(F.broadcast(total)).select("page", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
+#: From here on a reviewer's verdict is applied.
+SURE = 0.85
+
+
+def judged(pairs: DataFrame, verdict: str = "verdict", confidence: str = "confidence", least: float = SURE) -> DataFrame:
+    """The pairs with ``accepted``: a verdict that is true and of enough confidence. A null verdict or confidence accepts nothing."""
+    return pairs.withColumn("accepted", F.coalesce(F.col(verdict) & (F.col(confidence) >= least), F.lit(False)))
+
+
+def reviewed(rows: DataFrame, reviews: DataFrame, key: str, value: str, least: float = SURE) -> DataFrame:
+    """The rows with ``value`` as the ``reviews`` (key, said, confidence) of enough confidence have it, of several the surest; ``outcome`` is changed, kept or doubt."""
+    best = reviews.where(F.col("said").isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct("said", "confidence"), F.struct("confidence", "said")).alias("__r"))
+    joined = rows.join(best, F.col(key) == F.col("__key"), "left")
+    other = F.col("__r").isNotNull() & ~F.col("__r.said").eqNullSafe(F.col(value))
+    sure = F.coalesce(F.col("__r.confidence") >= least, F.lit(False))
+    return joined.withColumns({"outcome": F.when(other & sure, "changed").when(other, "doubt").otherwise("kept"), value: F.when(other & sure, F.col("__r.said")).otherwise(F.col(value))}).drop("__key", "__r")
+
+
+def exploded(papers: DataFrame, id_col: str, text: str, field: str, schema: str, needed: list[str]) -> DataFrame:
+    """The entries of one field of structured papers: (id, nth, the entry's columns). Malformed papers have none, nor have entries that lack one of the ``needed`` columns."""
+    rows = papers.select(F.col(id_col), F.from_json(text, f"{field} array<struct<{schema}>>").alias("__s")).select(id_col, F.posexplode(f"__s.{field}").alias("nth", "__e")).select(id_col, "nth", "__e.*")
+    there = F.lit(True)
+    for c in needed:
+        there = there & (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
+    return rows.where(there)
