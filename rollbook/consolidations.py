@@ -243,6 +243,39 @@ def homonyms_split(spark, sf_dir):
     return consolidation.homonyms(view(spark, sf_dir, "appointment").select("id", "person_id", "structure_id", number.alias("number")))
 
 
+@job("""WITH r AS (SELECT p_partkey AS id, lower(p_name) AS key, CASE WHEN p_size % 3 = 0 THEN p_brand END AS acronym FROM part WHERE p_partkey % 4 <> 1), g AS (SELECT key, min(id) AS canonical, arg_min(acronym, id) FILTER (acronym <> '') AS given FROM r GROUP BY key HAVING count(*) > 1)
+SELECT r.id, canonical, coalesce(c.acronym, given) AS acronym FROM r JOIN g USING (key) JOIN r c ON c.id = canonical WHERE r.id <> canonical""")
+def structures_merged_among_roots(spark, sf_dir):
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.initcap("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("acronym"), F.when(F.col("p_partkey") % 4 == 1, F.col("p_partkey") - 1).alias("canonical_id"))
+    return consolidation.same_names(rows, "canonical_id")
+
+
+@job("""WITH m AS (SELECT DISTINCT c_name AS name, CASE WHEN c_custkey % 4 < 2 THEN 'A' || c_custkey % 40 END AS acronym FROM customer), k AS (SELECT c_custkey AS id, lower(c_name) AS low, CASE WHEN c_custkey % 4 = 0 THEN 'A' || c_custkey % 40 END AS acronym FROM customer WHERE c_custkey % 3 = 0),
+a AS (SELECT acronym, min(id) AS x FROM k WHERE acronym IS NOT NULL GROUP BY 1), n AS (SELECT low, min(id) AS y FROM k GROUP BY 1), r AS (SELECT name, m.acronym, coalesce(x, y) AS id FROM m LEFT JOIN a ON a.acronym = m.acronym LEFT JOIN n ON n.low = lower(name)),
+g AS (SELECT lower(name) AS low, min(acronym) AS shared FROM r WHERE id IS NULL AND acronym IS NOT NULL GROUP BY 1)
+SELECT name, acronym, id, CASE WHEN id IS NULL THEN coalesce(acronym, shared, lower(name)) END AS new FROM r LEFT JOIN g ON g.low = lower(name)""")
+def structures_found(spark, sf_dir):
+    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey")
+    short = F.concat(F.lit("A"), (k % 40).cast("string"))
+    known = c.where(k % 3 == 0).select(k.alias("id"), F.upper("c_name").alias("name"), F.when(k % 4 == 0, short).otherwise("").alias("acronym"))
+    return consolidation.structures(c.select(F.concat(F.lit(" "), "c_name").alias("name"), F.when(k % 4 < 2, short).alias("acronym")), known)
+
+
+@job("""SELECT p_partkey AS id, p_partkey % 50 AS document, CASE WHEN p_size % 2 = 0 THEN 'pont' ELSE 'x' END AS kind, p_name AS title, CASE WHEN p_size % 3 = 0 THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS day, CASE WHEN p_partkey % 4 <> 3 THEN a.n_nationkey END AS place_id,
+CASE WHEN p_partkey % 4 = 3 THEN 'zzz' WHEN p_partkey % 4 = 2 THEN 'Région de ' || a.n_name ELSE 'Commune de ' || a.n_name END AS place, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'R' || a.n_regionkey END AS region, CASE WHEN p_partkey % 4 <> 3 THEN a.n_nationkey::DOUBLE END AS latitude,
+CASE WHEN p_size % 5 = 0 THEN b.n_name END AS arrival, CASE WHEN p_size % 5 = 0 THEN b.n_nationkey::DOUBLE END AS latitude_to, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN a.n_nationkey % 2 = 0 THEN 'commune' ELSE 'region' END AS precision,
+CASE WHEN p_size % 2 = 0 THEN 'Transport & mobilité' ELSE 'Autres' END AS sector, 'pending' AS status FROM part JOIN nation a ON a.n_nationkey = p_partkey % 25 JOIN nation b ON b.n_nationkey = (p_partkey + 7) % 25""")
+def facilities_from_news(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    k = F.col("p_partkey")
+    one = lambda c: n.select(F.col("n_nationkey").alias(f"{c}_key"), F.col("n_name").alias(c))
+    p = t(spark, sf_dir, "part").join(one("a"), k % 25 == F.col("a_key")).join(one("b"), (k + 7) % 25 == F.col("b_key"))
+    place = F.when(k % 4 == 3, "zzz").when(k % 4 < 2, F.concat(F.lit("Commune de "), "a"))
+    entries = p.select(k.alias("id"), (k % 50).alias("document"), F.when(F.col("p_size") % 2 == 0, "pont").otherwise("x").alias("type"), F.col("p_name").alias("title"), place.alias("place"), F.when(k % 4 == 2, F.concat(F.lit("Région de "), "a")).alias("region"), F.when(F.col("p_size") % 5 == 0, F.col("b")).when(F.col("p_size") % 5 == 1, "zzz").alias("arrival"), F.when(F.col("p_size") % 3 == 0, F.lit("2024-02-01")).cast("date").alias("day"), F.lit("2024-01-01").cast("date").alias("published"))
+    gazetteer = n.select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"), tx.place_key("n_name").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, "commune").otherwise("region").alias("type"), F.concat(F.lit("R"), "n_regionkey").alias("region"), F.col("n_nationkey").cast("double").alias("latitude"), F.lit(0.5).alias("longitude"), F.lit(1).cast("long").alias("population"))
+    return consolidation.facilities_read(entries, gazetteer).drop("longitude", "longitude_to")
+
+
 def _recleaned(obj, awardee, authority, status):
     """Object, awardee, sector and status of an award after another cleaning; one whose awardee can't be used goes back to the reviewers."""
     o, a = aw.clean_object(obj), aw.clean_awardee(awardee)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.offices import seat_key
+from ..functions.rules import facility_sector
 from ..functions.text import company_key, person_key, place_key
 from . import linkage, records
 
@@ -194,9 +195,12 @@ def facilities_admitted(found: DataFrame, known: DataFrame, gazetteer: DataFrame
     return records.latest(fresh, ["kind", "spot", "day"], [F.col("id")]).drop("key", "spot")
 
 
-def same_names(structures: DataFrame) -> DataFrame:
-    """(id, canonical, acronym) of institutions (id, name, acronym) whose name's key another one has: the smallest id stands for all, and takes the acronym of the first that has one if it has none."""
-    rows = structures.withColumn("key", person_key("name"))
+def same_names(structures: DataFrame, pointer: str | None = None) -> DataFrame:
+    """(id, canonical, acronym) of institutions (id, name, acronym) whose name's key another one has: the smallest id stands for all, and takes the acronym of the first that has one if it has none.
+
+    With a ``pointer`` only those take part that don't point to another one yet.
+    """
+    rows = (structures.where(F.col(pointer).isNull()) if pointer else structures).withColumn("key", person_key("name"))
     has = F.nullif("acronym", F.lit(""))
     groups = rows.groupBy("key").agg(F.min("id").alias("canonical"), F.min_by(has, F.struct(has.isNull(), "id")).alias("given"), F.min_by(has, "id").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(groups, "key").where("id <> canonical").select("id", "canonical", F.coalesce("own", "given").alias("acronym"))
@@ -214,3 +218,37 @@ def homonyms(mentions: DataFrame) -> DataFrame:
     places = known.where("structure_id IS NOT NULL").groupBy("person_id", "structure_id").agg(F.count_distinct("number").alias("k"), F.min("number").alias("only")).where("k = 1")
     rows = mentions.join(first, "person_id", "left").join(places.drop("k"), ["person_id", "structure_id"], "left")
     return rows.select("id", "person_id", F.coalesce("number", "only", "main").alias("identity"))
+
+
+def structures(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, acronym, id, new) of every different mention (name, acronym): the known institution (id, name, acronym) with its acronym, else with its name in any case, else a new one.
+
+    Of several known ones the smallest id is meant. Mentions that nothing is known of are one new institution if they share an
+    acronym, or a name in any case with one that has an acronym; ``id`` is null then and ``new`` tells them apart. Mentions of nothing are left out.
+    """
+    blank = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
+    asked = mentions.select(blank("name"), blank("acronym")).distinct().where("name IS NOT NULL OR acronym IS NOT NULL")
+    by_acronym = known.select(blank("acronym"), "id").where("acronym IS NOT NULL").groupBy("acronym").agg(F.min("id").alias("of_acronym"))
+    by_name = known.groupBy(F.lower(F.trim("name")).alias("low")).agg(F.min("id").alias("of_name"))
+    rows = asked.withColumn("low", F.lower("name")).join(by_acronym, "acronym", "left").join(by_name, "low", "left").withColumn("id", F.coalesce("of_acronym", "of_name"))
+    given = rows.where("id IS NULL AND acronym IS NOT NULL AND low IS NOT NULL").groupBy("low").agg(F.min("acronym").alias("shared"))
+    new = F.when(F.col("id").isNull(), F.coalesce("acronym", "shared", "low"))
+    return rows.join(given, "low", "left").select("name", "acronym", "id", new.alias("new"))
+
+
+def facilities_read(entries: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Facilities of structured news (id, document, type, title, place, region, arrival, day, published), with their places: (id, document, kind, title, day, place_id, place, region, latitude, longitude, arrival, latitude_to, longitude_to, precision, sector, status).
+
+    The place is looked up by its name, or the region's where none is given; the arrival's name only stays if it is found. The
+    event's day is the paper's where none is stated. ``gazetteer`` has (place_id, name, key, type, region, latitude, longitude,
+    population). All wait for review.
+    """
+    rows = entries.withColumn("__from", place_key(F.coalesce("place", "region"))).withColumn("__to", place_key("arrival"))
+    asked = rows.select(F.explode(F.array("__from", "__to")).alias("key")).distinct()
+    found = linkage.geocode(asked, gazetteer.select("place_id", "key", "population")).select("key", "place_id")
+    known = gazetteer.select("place_id", "type", F.col("region").alias("known_region"), "latitude", "longitude")
+    start = found.join(known.withColumnRenamed("type", "__type"), "place_id").withColumnRenamed("key", "__from")
+    end = found.join(known, "place_id").select(F.col("key").alias("__to"), F.col("latitude").alias("latitude_to"), F.col("longitude").alias("longitude_to"))
+    made = rows.join(start, "__from", "left").join(end, "__to", "left")
+    precision = F.when(F.col("__type") == "commune", "commune").when(F.col("place_id").isNotNull(), "region")
+    return made.select("id", "document", F.col("type").alias("kind"), F.substring("title", 1, 500).alias("title"), F.coalesce("day", "published").alias("day"), "place_id", F.coalesce("place", "region").alias("place"), F.coalesce("known_region", "region").alias("region"), "latitude", "longitude", F.when(F.col("latitude_to").isNotNull(), F.col("arrival")).alias("arrival"), "latitude_to", "longitude_to", precision.alias("precision"), F.coalesce(facility_sector(F.col("type")), F.lit("Autres")).alias("sector"), F.lit(records.PENDING).alias("status"))
