@@ -173,7 +173,9 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text:
     document replaces by one and the same word which stands for no other slot (1 where there are none); both are those
     of the best occurrence. ``contaminated``: an occurrence, or all that the document holds of the item, has enough of
     its windows and slots. An item of a single word is not looked for. Null ids are left out, null texts are empty;
-    repeated rows count once.
+    repeated rows count once. Texts are read whole, whatever their length. Of occurrences that are equally good any may give
+    ``n_slots`` and ``agreement``, which are equal then. An empty table on either side gives no rows; other columns, whatever their names, are
+    left out.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
     items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), whole_text(item_text).alias("text"))

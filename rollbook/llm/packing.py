@@ -154,7 +154,8 @@ class Plan:
 def cut_documents(docs: DataFrame, path: str, *, end_id: int, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids as little-endian uint32): each document's ids and the end id, cut only where there are more than ``capacity``.
 
-    A null text is empty, so such a document is the end id alone. Repeated rows give repeated pieces; null ids stay null.
+    A null text is empty, so such a document is the end id alone. Repeated rows give repeated pieces; null ids stay null. A text
+    of any length gives as many pieces as it fills; an empty table has none; other columns, whatever their names, are left out.
     """
     small_batches(docs.sparkSession)
 

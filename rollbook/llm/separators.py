@@ -41,7 +41,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_co
             doc = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
             digits = np.stack([(doc >> np.uint64(TAG_BITS * k)) & np.uint64((1 << TAG_BITS) - 1) for k in range(TAG_DIGITS)], axis=1) + np.uint64(TAG_BASE)
             tags = digits.astype("<u2")
-            own = [np.frombuffer(x, "<u4").astype("<u2") for x in ids]
+            whole = [np.frombuffer(x, "<u4") for x in ids]
+            if max((int(x.max(initial=0)) for x in whole), default=0) >= TAG_BASE - 1:
+                raise ValueError(f"ids of {TAG_BASE - 1} and more don't fit files of two bytes a token with tags")
+            own = [x.astype("<u2") for x in whole]
             flat = [t.tobytes() + np.where(x == end_id, np.uint16(TAG_BASE - 1), x).tobytes() for t, x in zip(tags, own, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["flat"])
 

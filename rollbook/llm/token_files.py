@@ -28,7 +28,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_co
 
     ``part`` numbers the range of ids, whatever the files are called and however many a range is written to, and
     ``part_start`` counts the ids of the part's documents before this one. A null text is empty; null ids come first;
-    rows with the same id follow each other in the order of their texts.
+    rows with the same id follow each other in the order of their texts. A text of any length is one row; an empty table
+    writes files without rows; other columns, whatever their names, are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)

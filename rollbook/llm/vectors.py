@@ -102,7 +102,8 @@ def classes(rows: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding
 
     Rows are linked if their labels are equal and the cosine of their vectors is at least ``cosine``. Vectors of
     different lengths aren't linked. Vectors that are null, zero, or hold null or non-finite numbers, and rows with a null label or id, link
-    with nothing: such a row is its own class. Repeated ids count as separate rows with one name.
+    with nothing: such a row is its own class. Repeated ids count as separate rows with one name,
+    so equal rows link with each other. A cosine that is exactly ``cosine`` links. An empty table stays empty; other columns, whatever their names, are left out.
     """
     spark = rows.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-7

@@ -173,6 +173,7 @@ def responses(pages: DataFrame, *, date: str = "1970-01-01T00:00:00Z", id_col: s
 
     The id is named by page id and URL, and the page id goes along as the header Page-ID. What such a table doesn't
     know is given here: ``date``, and an HTTP header of status 200 and UTF-8. A null page is an empty payload.
+    Repeated rows give repeated records; pages of any length are one record; an empty table stays empty; other columns, whatever their names, are left out.
     """
     names = F.concat_ws("|", F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit("")))
     h = F.sha1(F.concat(F.lit("rollbook:"), names))
@@ -257,7 +258,8 @@ def derive(records: DataFrame) -> DataFrame:
 
     (page_id, refers_to, type, record_id, target_uri, block_digest, payload_digest, record); ``page_id`` is the header
     Page-ID, null where there is none. Null headers or blocks count as empty, and an empty header isn't written; repeated
-    responses give repeated records with the same ids; records of other types give none.
+    responses give repeated records with the same ids; records of other types give none. Blocks of any length are scanned whole; an
+    empty table stays empty; other columns are left out.
     """
     small_batches(records.sparkSession)
 

@@ -148,3 +148,11 @@ def test_token_file_starts_do_not_hang_on_files(spark, small, path, encode):
     for r in rows:
         assert r.start == start and r.n_tokens == len(r.tokens)
         start += r.n_tokens
+
+
+def test_flat_files_refuse_ids_that_do_not_fit(spark, new_folder):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b <|endoftext|>")], "doc_id long, text string")
+    with pytest.raises(Exception, match="don't fit files of two bytes"):
+        separators.write(docs, f"file://{new_folder}/flat", public_tokenizers.path("byte_bpe_50k.json"), end_id=7)
