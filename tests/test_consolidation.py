@@ -4,10 +4,11 @@ import random
 from datetime import date, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook import queries as records
-from rollbook.operators import consolidation, search
+from rollbook.operators import consolidation, linkage, search
 from rollbook.views import view
 
 from .conftest import SMALL
@@ -48,6 +49,39 @@ def test_automatic_merges(spark):
     assert consolidation.automatic_merges(df.where("false")).count() == 0
 
 
+def test_merges_of_names_in_several_lengths(spark):
+    rng = random.Random(4)
+    words = ["habib", "trading", "international", "micro", "u", "general"]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) + rng.choice(["", " ", "s", "!!"]) for _ in range(120)]
+    names = dict(zip(rng.sample(range(1000), 120), made, strict=True))
+    df = spark.createDataFrame(list(names.items()), "id long, name string")
+    for least in (0.9, 0.5):
+        assert {r.id: r.canonical for r in consolidation.automatic_merges(df, least).collect()} == merged(names, least)
+
+
+def test_pairs_of_any_similarity(spark):
+    rng = random.Random(5)
+    made = ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 24))) for _ in range(150)] + ["Ab a" * 30, "Ab a" * 30 + "c"]
+    df = spark.createDataFrame(list(enumerate(made)), "id long, name string")
+    g = [grams(x) for x in made]
+    for least in (0.3, 0.65, 0.9):
+        near = {(a, b): len(g[a] & g[b]) / len(g[a] | g[b]) for a in range(len(g)) for b in range(len(g)) if g[a] and g[b] and len(g[a] & g[b]) >= least * len(g[a] | g[b])}
+        one = {(r.a, r.b): r.similarity for r in linkage.trigram_join(df, None, "id", F.col("name"), least).collect()}
+        assert one == pytest.approx({k: v for k, v in near.items() if k[0] < k[1]}, abs=1e-4)
+        two = {(r.a, r.b): r.similarity for r in linkage.trigram_join(df.where("id % 2 = 0"), df.where("id % 3 = 0"), "id", F.col("name"), least).collect()}
+        assert two == pytest.approx({k: v for k, v in near.items() if k[0] % 2 == 0 and k[1] % 3 == 0}, abs=1e-4)
+
+
+def test_records_of_one_name_are_not_paired(spark):
+    # as pairs these are 5 billion
+    df = spark.range(100_000).select("id", F.lit("habib trading").alias("name"))
+    assert linkage.trigram_components(df, "id", F.col("name"), 0.8).where("root = 0").count() == 100_000
+    assert consolidation.automatic_merges(df).where("canonical = 0").count() == 99_999
+    # an id under two names ties them together; a name's only record is no pair
+    df = spark.createDataFrame([(1, "aaaa"), (2, "aaaa"), (2, "bbbb"), (3, "bbbb"), (4, "cccc"), (None, "cccc"), (5, None)], "id long, name string")
+    assert {r.node: r.root for r in linkage.trigram_components(df, "id", F.col("name"), 0.8).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def folded(rows):
     """Appointments in order: (person, structure, place, seat, post, type, day, id)."""
     tenures, seats = [], {}
