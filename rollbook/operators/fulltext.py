@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stems import STOP_WORDS, stem
+from ..llm.common import small_batches
 
 BUCKETS, SALTS = 64, 8
+#: Words of the texts whose postings Python holds at once, or one text.
+CHUNK = 50_000
 #: What a stretch counts, and words of a passage that is shown.
 WEIGHT, PASSAGE, BEFORE = 0.1, 28, 6
 _WORD = re.compile(r"[^\W_]+")
@@ -34,19 +37,29 @@ def words_of(text: str) -> list[str]:
 
 
 def _postings(batches):
+    """A batch for every CHUNK postings and the text that completes them, so that long texts don't add up."""
     for batch in batches:
-        ids, size, terms, places = [], [], [], []
-        for k, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        kind = batch.schema.field("id").type
+        ids, size, terms, places, held = [], [], [], [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(terms, pa.string()), pa.array(size, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["id", "term", "n", "places"])  # noqa: B023
+
+        for k, text in zip(batch.column("id"), batch.column("text"), strict=True):
             found = defaultdict(list)
-            words = words_of((text or "").lower())
+            words = words_of((text.as_py() or "").lower())
             for at, word in enumerate(words):
                 if word not in _STOP:
                     found[stem(word)].append(at)
-            ids += [k] * len(found)
+            ids += [k.as_py()] * len(found)
             size += [len(words)] * len(found)
             terms += found.keys()
             places += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(terms, pa.string()), pa.array(size, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["id", "term", "n", "places"])
+            held += len(words)
+            if held >= CHUNK:
+                yield made()
+                ids, size, terms, places, held = [], [], [], [], 0
+        yield made()
 
 
 def bucket(term: Column | str, buckets: int = BUCKETS) -> Column:
@@ -55,6 +68,7 @@ def bucket(term: Column | str, buckets: int = BUCKETS) -> Column:
 
 def write_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
     """The postings (bucket, term, id, n, places) of all texts, as Parquet. Null texts have none, as have rows with a null id; ids must tell texts apart."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(_postings, f"id {docs.schema[id_col].dataType.simpleString()}, term string, n int, places array<int>")
     found = found.withColumn("bucket", bucket("term", buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
@@ -166,6 +180,7 @@ def search(found: DataFrame, query: str) -> DataFrame:
 
 def scan(docs: DataFrame, query: str, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The same without an index: every text is read."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(_postings, f"id {docs.schema[id_col].dataType.simpleString()}, term string, n int, places array<int>")
     return search(found.where(F.col("term").isin(asked(query).stems())), query)
@@ -173,6 +188,7 @@ def scan(docs: DataFrame, query: str, *, id_col: str = "doc_id", text: str = "te
 
 def headlines(found: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = PASSAGE, before: int = BEFORE) -> DataFrame:
     """All columns of ``found`` with ``headline``: ``size`` words from a few before the densest stretch, as HTML, with what was asked for in <mark>. Meant for a page of results."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(found), "id")
 
     def mark(batches):

@@ -119,3 +119,12 @@ def test_facets_in_one_pass(spark):
     have = {(r.facet, r.value): r.n for r in records.facets(df, {"p": "a", "q": "x"}).collect()}
     assert have == {("p", "a"): 1, ("p", "b"): 1, ("p", None): 1, ("q", "x"): 1, ("q", "y"): 1, ("q", None): 1}
     assert {(r.facet, r.value): r.n for r in records.facets(df, {"p": None}).collect()} == {("p", "a"): 3, ("p", "b"): 1, ("p", None): 1}
+
+
+def test_postings_of_long_texts_do_not_add_up():
+    import pyarrow as pa
+
+    text = " ".join(f"mot{k}" for k in range(30_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([text] * 7 + [None])], names=["id", "text"])
+    made = list(fulltext._postings([batch]))
+    assert max(b.num_rows for b in made) <= 60_000 and sum(b.num_rows for b in made) == 7 * 30_000
