@@ -29,6 +29,8 @@ TEXTS = ["id", "type", "reference", "titre", "date", "journal_officiel", "url_pd
 DIRECTORY = ["id", "personne", "matricule", "poste", "structure", "date_debut", "date_fin", "statut"]
 #: The columns of proposals that are reviewed.
 PROPOSALS = ["appliquer", "id_source", "nom_source", "id_canonique", "nom_canonique", "similarite"]
+#: Rows of a numbered file, about, so that what a task writes or reads doesn't grow with the export.
+ROWS = 500_000
 #: Entries of the three feeds.
 COUNCILS, NEWS, LAWS = 30, 40, 30
 
@@ -103,12 +105,13 @@ class WholeFiles(DataSource):
 
 
 def write_csv(rows: DataFrame, path: str, header: list[str], order: list[Column], key: str | None = None, parts: int = 1) -> None:
-    """CSV files with a header: one for each value of ``key``, or ``parts`` numbered ones of the whole export in order. Nulls are empty fields."""
+    """CSV files with a header: one for each value of ``key``, or ``parts`` numbered ones of the whole export in order (more, where one would have over ROWS rows). Nulls are empty fields."""
     values = [blank(c).alias(c) for c in header]
     if key is not None:
         dealt = rows.select(blank(key).alias("__file"), *header, *[o.alias(f"__o{k}") for k, o in enumerate(order)]).repartition("__file")
         dealt = dealt.sortWithinPartitions("__file", *[f"__o{k}" for k in range(len(order))])
     else:
+        parts = max(parts, -(-rows.count() // ROWS))
         sorted_ = rows.select(*header, *[o.alias(f"__o{k}") for k, o in enumerate(order)])
         by = [f"__o{k}" for k in range(len(order))]
         dealt = sorted_.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__file", F.format_string("part-%05d", F.spark_partition_id()))

@@ -103,3 +103,11 @@ def test_exports_come_whole_or_not_at_all(spark, new_folder):
     with pytest.raises(Exception, match="broken"):
         exports.write_csv(broken, f"{new_folder}/by", ["id", "nom"], [F.col("id")], key="key")
     assert 'n""0' in open(f"{new_folder}/by/k0.csv").read() and not glob.glob(f"{new_folder}/*/_aside*")
+
+
+def test_large_exports_are_more_files(spark, new_folder, monkeypatch):
+    monkeypatch.setattr(exports, "ROWS", 100)
+    exports.write_csv(spark.range(2_000).select("id", F.lit("x").alias("nom")), f"{new_folder}/many", ["id", "nom"], [-F.col("id")], parts=2)
+    files = [open(f).read().splitlines()[1:] for f in sorted(glob.glob(f"{new_folder}/many/*.csv"))]
+    assert len(files) == 20 and max(map(len, files)) < 250
+    assert [line for f in files for line in f] == [f"{k},x" for k in range(1_999, -1, -1)]
