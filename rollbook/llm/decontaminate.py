@@ -79,7 +79,8 @@ def _kinds(words: Column, make) -> Column:
         return figures | F.lower(F.substring_index(w, JOINT, 1)).isin(*NUMBERS)
 
     def one(w: Column, last: Column) -> Column:
-        name = (F.ascii(w).between(65, 90) | (F.ascii(w) >= 192)) & w.rlike(rf"^\p{{Lu}}\p{{Ll}}+(?:{JOINT}\p{{Lu}}\p{{Ll}}+)*$")
+        # possessive: else the engine recurses for each word of a name, and a stack that overflows ends the executor
+        name = (F.ascii(w).between(65, 90) | (F.ascii(w) >= 192)) & w.rlike(rf"^\p{{Lu}}\p{{Ll}}++(?:{JOINT}\p{{Lu}}\p{{Ll}}++)*+$")
         name = name & ~F.lower(w).isin(*OPENERS)
         kind = F.when(number(w), F.lit(NUM)).when(number(last) & F.array_contains(units, F.lower(w)), F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(F.lower(w))
         return F.when(w != STOP, make(w, kind))

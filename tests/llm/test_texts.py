@@ -114,6 +114,14 @@ def test_names_and_numbers_of_any_words_are_one_slot(spark):
     assert {(r.doc_id, r.item_id): r.n_slots for r in rows} == {(0, 1): 6, (1, 1): 6, (0, 2): 3, (1, 2): 3}
 
 
+def test_a_name_of_thousands_of_words_needs_no_deeper_stack(spark):
+    """Capitalised words without an end: one name, whose pattern must not recurse for each word."""
+    item = "Nobody ever saw the river freeze before the long winter came to the old town of Paris that year."
+    docs = [(1, " ".join(["Alpha", "Bravo", "Carlo"] * 3_000)), (2, f"{CLEAN} {item.replace('Paris', 'Oslo ' * 5_000)} {CLEAN}")]
+    rows = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.coverage, r.contaminated) for r in rows] == [(2, 1, 1.0, True)]
+
+
 def slots_of(doc, item):
     """Slots and agreement of the whole document's matches, plainly."""
     a, b = template(item), template(doc)
