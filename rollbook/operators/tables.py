@@ -2,7 +2,8 @@
 
 A table is an array of rows, a row an array of cells. What stands above the row that names the bidders' column tells who
 buys and what; below it either a closing line names the winner with the amount in brackets, or the first bidder whose
-assessment says "compliant, 1st" has won. All lines of a table are read once, by a fold that carries what was seen so far.
+assessment says "compliant, 1st" has won. The line with the column's name is looked for first; then each side of it is asked
+only for what it can tell, and only up to the line that tells it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.awards import clean_awardee, clean_object
-from ..functions.text import plausible_amount
+from ..functions.text import let, plausible_amount
 from .records import fenced
 
 #: What the header of a result table has in it.
@@ -30,6 +31,9 @@ NO_NAME = ["néant", "attributaire", "conforme"]
 LOT_BEFORE, ROLE_BEFORE, NUMBER_BEFORE = r"(?iU)^\s*(?:lot\s*(?:unique|n?°?\s*\d+)?\s*:?\s*)", r"(?iU)^\s*(?:provisoire|attributaire)\s*:?\s*", r"(?U)^\d{1,2}\s+"
 PHONE, LOOSE_END = r"(?iU)\s*/?\s*T[ÉE]L\s*[:.]|\s*\(", r"(?U)\s*[/-]\s*$"
 
+#: A winner and the sum.
+WON = "struct<name:string,amount:bigint>"
+
 
 def _cell(c: Column) -> Column:
     return F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
@@ -50,9 +54,11 @@ def is_results(cells: Column) -> Column:
 
 def is_authority(line: Column) -> Column:
     """Whether a header line is an authority: 6 signs or more, mostly capitals, and no field of the header."""
-    letters = F.regexp_replace(line, r"[^\p{L}]", "")
-    capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
-    return (F.length(line) >= 6) & ~line.rlike(NO_AUTHORITY) & (F.length(letters) > 0) & (capitals > 0.6 * F.length(letters))
+
+    def mostly_capitals(letters: Column) -> Column:
+        return (F.length(letters) > 0) & (F.length(F.regexp_replace(letters, r"[^\p{Lu}]+", "")) > 0.6 * F.length(letters))
+
+    return (F.length(line) >= 6) & ~line.rlike(NO_AUTHORITY) & let(F.regexp_replace(line, r"[^\p{L}]+", ""), mostly_capitals)
 
 
 def bidder(name: Column) -> Column:
@@ -63,34 +69,28 @@ def bidder(name: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(name, LOOSE_END, ""), r"^[ :.,\-]+|[ :.,\-]+$", ""), 1, 400)
 
 
-#: What the fold carries: whether the bidders have begun, the header, and the winners found either way.
-STATE = "struct<place:int,header:string,authority:string,below:boolean,named:string,amount:bigint,closed:boolean,first:string,sum:bigint,ranked:boolean>"
-
-
-def _read(state: Column, row: Column) -> Column:
-    """The next state: header lines until the bidders' column is named, bidders and the closing line after it."""
-    line, cells = row["line"], row["cells"]
-    column = ~state["below"] & F.contains(F.lower(line), F.lit(BIDDERS))
-    above = ~state["below"] & ~column
-    rest = F.regexp_replace(line, UP_TO_WINNER, "")
-    name, sum_ = F.regexp_extract(rest, NAMED, 1), F.regexp_extract(rest, BRACKETS, 1)
-    closes = ~above & ~state["closed"] & line.rlike(WINNER) & (name != "") & (sum_ != "")
-    # a bidder stands below the column's name, which the line with that name isn't
-    wins = state["below"] & ~state["ranked"] & F.lower(_cell(F.try_element_at(cells, F.lit(-1)))).rlike(FIRST)
+def _winner(cells: Column) -> Column:
+    """(name, amount) of a bidder's line: the first cell or, where that is empty, the second, and the first plausible sum behind the first cell."""
     first, second = _cell(F.get(cells, F.lit(0))), _cell(F.get(cells, F.lit(1)))
     sums = F.array_compact(F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: plausible_amount(_cell(c))))
-    return F.struct(
-        (state["place"] + 1).alias("place"),
-        F.when(above, F.concat_ws(" ", state["header"], line)).otherwise(state["header"]).alias("header"),
-        F.when(above & state["authority"].isNull() & is_authority(line), line).otherwise(state["authority"]).alias("authority"),
-        (state["below"] | column).alias("below"),
-        F.when(closes, bidder(name)).otherwise(state["named"]).alias("named"),
-        F.when(closes, plausible_amount(sum_)).otherwise(state["amount"]).alias("amount"),
-        (state["closed"] | closes).alias("closed"),
-        F.when(wins, bidder(F.when(first != "", first).otherwise(second))).otherwise(state["first"]).alias("first"),
-        F.when(wins, F.get(sums, F.lit(0))).otherwise(state["sum"]).alias("sum"),
-        (state["ranked"] | wins).alias("ranked"),
-    ).cast(STATE)
+    return F.struct(bidder(F.when(first != "", first).otherwise(second)).alias("name"), F.get(sums, F.lit(0)).alias("amount"))
+
+
+def _closing(line: Column) -> Column:
+    """(name, amount) of a closing line; null where the line isn't one, or has no name or no brackets."""
+
+    def parts(rest: Column) -> Column:
+        return F.struct(F.regexp_extract(rest, NAMED, 1).alias("name"), F.regexp_extract(rest, BRACKETS, 1).alias("sum"))
+
+    def read(x: Column) -> Column:
+        return F.when((x["name"] != "") & (x["sum"] != ""), F.struct(bidder(x["name"]).alias("name"), plausible_amount(x["sum"]).alias("amount")))
+
+    return F.when(line.rlike(WINNER), let(let(F.regexp_replace(line, UP_TO_WINNER, ""), parts), read))
+
+
+def _first(lines: Column, read, kind: str) -> Column:
+    """``read(line)`` of the first of the lines that gives something; it isn't asked of those after."""
+    return F.aggregate(lines, F.lit(None).cast(kind), lambda found, x: F.when(found.isNotNull(), found).otherwise(read(x)).cast(kind))
 
 
 def awards(tables: DataFrame, *, cells: str = "cells") -> DataFrame:
@@ -100,18 +100,27 @@ def awards(tables: DataFrame, *, cells: str = "cells") -> DataFrame:
     or with a winner who is the authority give none, nor do null tables. Null cells and rows count as empty.
     """
     lines = F.filter(F.transform(cells, lambda r: F.struct(_line(r).alias("line"), F.coalesce(r, F.array().cast("array<string>")).alias("cells"))), lambda x: x["line"] != "")
-    begin = F.struct(F.lit(0), F.lit(None), F.lit(None), F.lit(False), F.lit(None), F.lit(None), F.lit(False), F.lit(None), F.lit(None), F.lit(False)).cast(STATE)
-    rows = tables.where(is_results(F.col(cells))).withColumn("__lines", lines).where(F.size("__lines") >= 4).drop(cells)
-    rows = fenced(rows, __s=F.aggregate("__lines", begin, _read)).drop("__lines")
-    s, header = F.col("__s"), F.coalesce(F.trim("__s.header"), F.lit(""))
-    rows = rows.where(s["below"] & (header != ""))
+    rows = fenced(tables.where(is_results(F.col(cells))), __lines=lines).where(F.size("__lines") >= 4).drop(cells)
+    rows = fenced(rows, __at=F.array_position(F.transform("__lines", lambda x: F.contains(F.lower(x["line"]), F.lit(BIDDERS))), F.lit(True)).cast("int"))
+    # what stands above the bidders' column, the lines from its name on, and those below it
+    above = F.transform(F.slice("__lines", 1, F.greatest(F.col("__at") - 1, F.lit(0))), lambda x: x["line"])
+    rest = F.when(F.col("__at") > 0, F.slice("__lines", F.greatest("__at", F.lit(1)), F.size("__lines")))
+    rows = fenced(rows, __above=above, __rest=rest).drop("__lines").where(F.col("__at") > 0)
+    rows = fenced(rows, __header=F.trim(F.array_join("__above", " "))).where("__header <> ''")
+    rows = fenced(rows, __closed=_first(F.col("__rest"), lambda x: _closing(x["line"]), WON))
+    # bidders are looked at only where no closing line tells
+    closed = (F.coalesce("__closed.name", F.lit("")) != "") & F.col("__closed.amount").isNotNull()
+    wins = lambda x: F.when(F.lower(_cell(F.try_element_at(x["cells"], F.lit(-1)))).rlike(FIRST), _winner(x["cells"]))
+    ranked = _first(F.slice("__rest", 2, F.size("__rest")), wins, WON)
+    rows = fenced(rows, __won=F.when(closed, F.col("__closed")).otherwise(ranked)).drop("__rest", "__closed")
+    rows = rows.where((F.coalesce("__won.name", F.lit("")) != "") & F.col("__won.amount").isNotNull())
+    header = F.col("__header")
     reference = F.nullif(F.trim(F.regexp_extract(header, REFERENCE, 1)), F.lit(""))
     bought = F.when(F.col("reference").isNull(), header).otherwise(F.coalesce(F.nullif(F.trim(F.get(F.split(header, FOR, 2), F.lit(1))), F.lit("")), F.col("reference")))
-    closed = (F.coalesce(s["named"], F.lit("")) != "") & s["amount"].isNotNull()
-    ranked = (F.coalesce(s["first"], F.lit("")) != "") & s["sum"].isNotNull()
     rows = fenced(rows, reference=reference)
-    rows = fenced(rows, __bought=bought, authority=F.substring("__s.authority", 1, 400), amount=F.when(closed, s["amount"]).when(ranked, s["sum"]), awardee=clean_awardee(F.when(closed, s["named"]).when(ranked, s["first"])))
-    rows = rows.withColumn("object", clean_object("__bought")).drop("__s", "__bought")
+    authority = _first(F.col("__above"), lambda line: F.when(is_authority(line), line), "string")
+    rows = fenced(rows, __bought=bought, authority=F.substring(authority, 1, 400), amount=F.col("__won.amount"), awardee=clean_awardee(F.col("__won.name")))
+    rows = rows.withColumn("object", clean_object("__bought")).drop("__at", "__above", "__header", "__won", "__bought")
     same = F.coalesce(F.lower(F.substring("awardee", 1, 20)) == F.lower(F.substring("authority", 1, 20)), F.lit(False))
     return rows.where((F.length("awardee") >= 3) & F.col("amount").isNotNull() & ~F.lower("awardee").isin(*NO_NAME) & ~same)
 

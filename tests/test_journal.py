@@ -31,6 +31,15 @@ def test_tables(spark):
     assert made[2].authority == "COMMUNE DE MANGA"
 
 
+def test_lines_are_asked_once_for_each_thing(spark):
+    """The patterns that lines are held against stand once in the plan, and bidders aren't looked at where a closing line tells."""
+    df = spark.createDataFrame([(1, [*HEAD, COLUMNS, ["A SARL", "1 000 000", "Conforme 1er"], ["Attributaire : B SARL pour un montant de (2 000 000)"]])], "id int, cells array<array<string>>")
+    made = tables.awards(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f", {p})") for p in (tables.WINNER, tables.FIRST, tables.NO_AUTHORITY)] == [1, 1, 1]
+    assert [(r.awardee, r.amount) for r in made.collect()] == [("B SARL", 2_000_000)]
+
+
 def test_headings_over_stretches(spark):
     rng = random.Random(3)
     heads = [(d, rng.randrange(3_000), f"h{k}") for d in range(3) for k in range(6)] + [(0, None, "x"), (None, 5, "y"), (1, 40, None)]
