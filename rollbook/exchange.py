@@ -58,7 +58,7 @@ def pages_fetched(spark, sf_dir):
 
 @query(FETCHED)
 def pages_streamed(spark, sf_dir):
-    """The same pages by a stream, a few a task, as a table of what arrived."""
+    """The same pages by a stream, in short ranges, as a table of what arrived."""
     path, out = recorded_documents(spark, sf_dir), new_folder(spark, "streamed")
     rows = recorded.page_stream(spark, path, range=4)
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()

@@ -1,9 +1,10 @@
 """Recorded answers of a paged source, as a data source for batches and streams, and the runs that take them.
 
 ``spark.read.format("recorded_pages")`` reads pages of a folder in which ``page=K`` holds the answers to page K, an attempt a
-line: a status, a tab, and what was answered. The folder is one that all executors can open. A task takes a range of pages.
-What a server failed to answer is asked again as often as ``retries`` says; what it refused isn't. A page without any answer
-ends its task's range, as later ones don't exist.
+line: a status, a tab, and what was answered. ``block=B`` holds those to BLOCK pages in their order, with the page and a tab
+before each line, so that many pages are few files. The folder is one that all executors can open. Pages are taken by ranges,
+and as many ranges make a task as have BLOCK pages. What a server failed to answer is asked again as often as ``retries`` says;
+what it refused isn't. A page without any answer ends its range, as later ones don't exist.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import glob
 import os
 import re
 from dataclasses import dataclass
+from itertools import groupby
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,8 +24,8 @@ from ..functions.papers import court_date, court_kind, court_reference
 from ..operators.records import new_versions
 
 SCHEMA = "page int, attempts int, status int, body string, error string"
-#: Attempts at a page, and pages of a task.
-RETRIES, RANGE = 3, 16
+#: Attempts at a page, pages of a range, and pages of a block and of a task.
+RETRIES, RANGE, BLOCK = 3, 16, 256
 #: Statuses from here on are the server's fault and are asked again, from there on the answer is a refusal.
 FAULT, REFUSAL = 500, 400
 #: Pages of a yearly archive, and entries of a list, that are visited again though they are known.
@@ -34,20 +36,40 @@ def _folder(path: str) -> str:
     return urlparse(path).path if path.startswith("file:") else path
 
 
+def _answer(line: str) -> list[tuple[int, str]]:
+    status, tab, body = line.partition("\t")
+    return [(int(status), body)] if tab and status.isdigit() else []
+
+
 def _answers(folder: str, page: int) -> list[tuple[int, str]]:
     out = []
     for name in sorted(glob.glob(f"{glob.escape(folder)}/page={page}/part-*")):
         with open(name, encoding="utf-8") as lines:
             for line in lines.read().split("\n"):
-                status, tab, body = line.partition("\t")
-                if tab and status.isdigit():
-                    out.append((int(status), body))
+                out += _answer(line)
     return out
 
 
-def fetched(folder: str, page: int, retries: int) -> tuple | None:
+def _in_block(folder: str, block: int):
+    """(page, line) of a block's lines, in the order of pages."""
+    for name in sorted(glob.glob(f"{glob.escape(folder)}/block={block}/part-*")):
+        with open(name, encoding="utf-8", newline="\n") as lines:
+            for line in lines:
+                page, tab, rest = line.rstrip("\n").partition("\t")
+                if tab and page.isdigit():
+                    yield int(page), rest
+
+
+def _in_blocks(folder: str, first: int, end: int):
+    """(page, answers) of the pages from ``first`` to before ``end`` that blocks hold; one page's answers are held at a time."""
+    for block in range(first // BLOCK, (end - 1) // BLOCK + 1):
+        for page, lines in groupby(_in_block(folder, block), key=lambda x: x[0]):
+            if first <= page < end:
+                yield page, [a for _, line in lines for a in _answer(line)]
+
+
+def fetched(page: int, answers: list[tuple[int, str]], retries: int) -> tuple | None:
     """(page, attempts, status, body, error) after as many attempts as it takes; none if the page doesn't exist."""
-    answers = _answers(folder, page)
     if not answers:
         return None
     for k, (status, body) in enumerate(answers[:retries], 1):
@@ -60,9 +82,12 @@ def fetched(folder: str, page: int, retries: int) -> tuple | None:
 
 
 @dataclass
-class Range(InputPartition):
+class Ranges(InputPartition):
+    """Ranges of ``width`` pages one after the other, the last of which may be shorter."""
+
     first: int
     end: int
+    width: int
 
 
 class _Pages:
@@ -73,27 +98,43 @@ class _Pages:
 
     def _end(self) -> int:
         """One more than the last page that there is."""
-        pages = [int(m[1]) for name in os.listdir(self.folder) if (m := re.fullmatch(r"page=(\d+)", name))]
+        names = os.listdir(self.folder)
+        pages = [int(m[1]) for name in names if (m := re.fullmatch(r"page=(\d+)", name))]
+        blocks = [int(m[1]) for name in names if (m := re.fullmatch(r"block=(\d+)", name))]
+        if blocks:
+            pages += [page for page, _ in _in_block(self.folder, max(blocks))]
         return max(pages, default=self.first - 1) + 1
 
-    def _ranges(self, first: int, end: int) -> list[Range]:
-        return [Range(a, min(a + self.width, end)) for a in range(first, end, self.width)]
+    def _tasks(self, first: int, end: int) -> list[Ranges]:
+        of_task = max(1, BLOCK // self.width) * self.width
+        return [Ranges(a, min(a + of_task, end), self.width) for a in range(first, end, of_task)]
 
-    def read(self, partition: Range):
+    def read(self, partition: Ranges):
+        if partition.first >= partition.end:
+            return
+        blocks = _in_blocks(self.folder, partition.first, partition.end)
+        at, held = next(blocks, (None, []))
+        open_ = True
         for page in range(partition.first, partition.end):
-            row = fetched(self.folder, page, self.retries)
-            if row is None:
-                return
-            yield row
+            open_ = open_ or (page - partition.first) % partition.width == 0
+            answers = []
+            if page == at:
+                answers = held
+                at, held = next(blocks, (None, []))
+            if open_:
+                row = fetched(page, answers + _answers(self.folder, page), self.retries)
+                open_ = row is not None
+                if row is not None:
+                    yield row
 
 
 class PagesReader(_Pages, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return self._ranges(self.first, self._end()) or [Range(self.first, self.first)]
+    def partitions(self) -> list[Ranges]:
+        return self._tasks(self.first, self._end()) or [Ranges(self.first, self.first, self.width)]
 
 
 class PagesStream(_Pages, DataSourceStreamReader):
-    """Offsets are the next page to be taken; a batch takes all that there are, a range of them a task."""
+    """Offsets are the next page to be taken; a batch takes all that there are."""
 
     def __init__(self, options: dict):
         super().__init__(options)
@@ -106,9 +147,9 @@ class PagesStream(_Pages, DataSourceStreamReader):
         self.next = max(self.next, self._end())
         return {"page": self.next}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         self.next = max(self.next, end["page"])  # after a restart, offsets come from the checkpoint
-        return self._ranges(start["page"], end["page"])
+        return self._tasks(start["page"], end["page"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -130,10 +171,10 @@ class RecordedPages(DataSource):
 
 
 def record(answers: DataFrame, path: str) -> None:
-    """Write answers (page, attempt, status, body) as such a folder: bodies on one line, a file a page."""
-    line = F.concat_ws("\t", F.col("status").cast("string"), F.regexp_replace(F.coalesce("body", F.lit("")), r"[\r\n]+", " "))
-    rows = answers.select("page", "attempt", line.alias("line")).repartition("page").sortWithinPartitions("page", "attempt")
-    rows.select("page", "line").write.partitionBy("page").text(path)
+    """Write answers (page, attempt, status, body) as such a folder: bodies on one line, a file a block."""
+    line = F.concat_ws("\t", F.col("page").cast("string"), F.col("status").cast("string"), F.regexp_replace(F.coalesce("body", F.lit("")), r"[\r\n]+", " "))
+    rows = answers.select(F.floor(F.col("page") / BLOCK).alias("block"), "page", "attempt", line.alias("line")).repartition("block").sortWithinPartitions("block", "page", "attempt")
+    rows.select("block", "line").write.partitionBy("block").text(path)
 
 
 def pages(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -18,6 +18,20 @@ def test_pages_end_where_there_are_none(spark, new_folder):
     assert read(retries=1, first=2) == [(2, 1, 500, None, "failed 1 times: 500")]
 
 
+def test_many_pages_are_few_files_and_tasks(spark, new_folder):
+    gone, n = {40, 300, 512}, 1_000
+    made = spark.range(1, n + 1).where(~F.col("id").isin(*gone)).select(F.col("id").cast("int").alias("page"), F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
+    made = made.select("page", "attempt", F.when(F.col("attempt") == 0, 500).otherwise(200).alias("status"), F.concat(F.lit("b\t"), "page", F.lit("\u2028")).alias("body"))
+    recorded.record(made, f"file://{new_folder}/p")
+    assert len(glob.glob(f"{new_folder}/p/*/part-*")) <= n // recorded.BLOCK + 1
+    for width, first in ((4, 1), (4, 7), (16, 1), (7, 250), (1_000, 1), (1, 1)):
+        read = recorded.pages(spark, f"file://{new_folder}/p", range=width, first=first)
+        ranges = [range(a, min(a + width, n + 1)) for a in range(first, n + 1, width)]
+        want = [p for r in ranges for p in r if not gone & set(range(r[0], p + 1))]
+        assert sorted(map(tuple, read.collect())) == [(p, 2, 200, f"b\t{p}\u2028", None) for p in want]
+        assert read.rdd.getNumPartitions() <= n // recorded.BLOCK + 2
+
+
 def test_a_stream_goes_on_where_it_ended(spark, new_folder):
     some = lambda pages: spark.createDataFrame([(k, 0, 200, f"b{k}") for k in pages], "page int, attempt int, status int, body string")
     path = f"file://{new_folder}/p"
