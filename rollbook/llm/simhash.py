@@ -252,6 +252,15 @@ def _name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays that share its memory; as Python numbers a component would take several times as much."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())
+        out += np.split(values, ends[:-1]) if len(ends) else []
+    return out
+
+
 def _roots(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the number of the first set that it is linked with, over any number of links."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -315,10 +324,10 @@ def _similar(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def linked(batches):
         for table in by_group(batches, "root", 2_000):
             root, name = table.column("root").to_numpy(), table.column("name").to_numpy()
-            found = table.column("found").to_pylist()
+            found = _sets(table.column("found"))
             cuts = np.concatenate([[0], np.flatnonzero(root[1:] != root[:-1]) + 1, [len(root)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = _roots([np.array(s, np.int64) for s in found[a:b]])
+                own = _roots(found[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array(name[a:b]), pa.array(name[a:b][own])], names=["name", "root"])
 
     rows = save(docs.mapInArrow(mark, T.StructType([kind, T.StructField("name", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])), "shingled")

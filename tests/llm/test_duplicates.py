@@ -145,3 +145,20 @@ def test_vectors_of_odd_rows(spark):
     want = {r[0]: (int(link[k].sum()), good[own[k]][0], good[own[k]][0] == r[0]) for k, r in enumerate(good)}
     assert have == want | {k: (0, k, True) for k in (200, 201, 202, 203, 204, 205, 207)}
     assert vectors.classes(df.where("false")).count() == 0
+
+
+def test_sets_of_a_component_share_the_memory_of_their_column():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    wanted = [rng.integers(-(1 << 62), 1 << 62, k) for k in (0, 1, 200_000, 0, 300_000, 7)]
+    whole = pa.array(wanted, pa.list_(pa.int64()))
+    column = pa.chunked_array([whole.slice(0, 3), whole.slice(3), whole.slice(0, 0)])
+    tracemalloc.start()
+    found = simhash._sets(column)
+    taken = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken < 1 << 20 and len(found) == len(wanted) and all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True))
