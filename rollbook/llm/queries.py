@@ -46,7 +46,7 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.classes(load(spark, sf_dir, "documents"))
+    found = simhash.classes(load(spark, sf_dir, "documents"), by_id=True)
     return found.select(F.col("id").alias("doc_id"), simhash.hex16().alias("fingerprint"), "component_id")
 
 

@@ -156,21 +156,30 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.union(_within(few, bits)).union(_within(many, bits))
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+def _of_one_id(rows: DataFrame) -> DataFrame:
+    """Links (u, v) between the different fingerprints of an id in (id, fp); null ids name nothing in common."""
+    several = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u <> most").select("id", "u")
+    return rows.join(several, "id").where("fp <> u").select("u", F.col("fp").alias("v"))
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", bits: int = BITS, by_id: bool = False) -> DataFrame:
     """(id, fp, component_id): every row with its fingerprint and the smallest id that is reachable by links.
 
-    Rows with equal fingerprints are linked, so repeated rows and exact copies share a class. An id that is null
-    is never the smallest; a class of null ids only has a null ``component_id``. Any other column is dropped.
+    Rows with equal fingerprints are linked, so repeated rows and exact copies share a class. With ``by_id`` an id is
+    one document, whatever number of rows has it: what any of them is linked with is reachable from all. Otherwise texts
+    that share an id are judged each by itself. An id that is null is never the smallest and links nothing; a class of
+    null ids only has a null ``component_id``. Any other column is dropped.
     """
-    return _classes(docs, id_col, text, bits).drop("root")
+    return _classes(docs, id_col, text, bits, by_id).drop("root")
 
 
-def _classes(docs: DataFrame, id_col: str, text: str, bits: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text: str, bits: int, by_id: bool = False) -> DataFrame:
     """The same with ``root``, which tells classes apart that have the same smallest id."""
     rows = save(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     fps = save(fps, "distinct")
-    roots = components(links(fps.select("fp"), bits))
+    linked = links(fps.select("fp"), bits)
+    roots = components(linked.union(_of_one_id(rows)) if by_id else linked)
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(smallest, "root").select("fp", "root", "component_id")

@@ -83,6 +83,20 @@ def test_simhash_of_odd_rows(spark, odd, nothing):
     assert simhash.deduplicate(nothing).count() == 0 and simhash.classes(nothing).count() == 0
 
 
+def test_simhash_reaches_over_all_rows_of_an_id(spark, new_folder):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(60)]
+    rows = [(rng.randrange(90), rng.choice(texts)) for _ in range(80)] + [(-5, "one"), (200, "one"), (200, "two"), (200, None), (300, "two"), (301, ""), (302, "by itself"), (302, "by itself")]
+    spark.createDataFrame(rows + [(None, "one"), (None, texts[0])], "doc_id long, text string").write.parquet(f"{new_folder}/documents.parquet")
+    fps = [fingerprint(t) for _, t in rows]
+    first = {d: k for k, (d, _) in reversed(list(enumerate(rows)))}
+    own = roots(len(rows), [*near(fps), *((first[d], k) for k, (d, _) in enumerate(rows))])
+    least = {r: min(d for (d, _), x in zip(rows, own, strict=True) if x == r) for r in own}
+    want = Counter((d, f"{f:016x}", least[r]) for (d, _), f, r in zip(rows, fps, own, strict=True))
+    have = Counter((r.doc_id, r.fingerprint, r.component_id) for r in queries.op5_simhash(spark, new_folder).where("doc_id IS NOT NULL").collect())
+    assert have == want and all(least[own[first[d]]] == -5 for d in (200, 300, 301))
+
+
 def removed(texts, length):
     """A byte is removed if a string of that length that covers it also starts anywhere else."""
     data = [(t or "").encode() for t in texts]
