@@ -11,6 +11,8 @@ from .common import crc_mod, load, new_path
 TOKENIZER = "word_bpe_49k.json"
 #: The separator of flat token files.
 SEPARATOR = 49_407
+#: Words of a passage that counts if it repeats: over 50.
+PASSAGE = 51
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -56,7 +58,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digests(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return suffix.digests(load(spark, sf_dir, "documents"), passage=PASSAGE).withColumnRenamed("id", "doc_id")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

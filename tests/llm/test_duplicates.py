@@ -130,6 +130,21 @@ def test_suffix_dedup_of_dense_repeats(spark, most, alphabet):
     assert have == dict(enumerate(removed(texts, 40)))
 
 
+def test_suffix_dedup_counts_passages_of_few_bytes(spark, new_folder):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(4))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared, long, below = prose(51), prose(120), prose(50)  # 51 words are under 400 bytes
+    texts = {1: f"{prose(9)} {shared} {prose(9)}", 2: f"{prose(80)} {shared}", 3: prose(200), 4: f"{long} {prose(30)} {shared}", 5: f"{long} end", 6: f"{below} {prose(3)}", 7: f"{prose(3)} {below}", 8: None, 9: shared, 10: f"{below} x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{new_folder}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op7_suffix_dedup(spark, new_folder).collect()}
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in rows.items()} == dict(zip(texts, removed(texts.values(), 400), strict=True))
+    size, much = len(shared.encode()), len(long.encode())
+    assert size < 400 < much
+    assert {d: (r.n_passages, r.passage_bytes) for d, r in rows.items() if r.n_passages or r.passage_bytes} == {1: (1, size), 2: (1, size), 4: (2, much + size), 5: (1, much), 9: (1, size)}
+    assert [d for d, r in rows.items() if r.changed] and all(r.changed == (d in (4, 5)) for d, r in rows.items())
+
+
 def test_suffix_dedup_of_odd_rows(spark, odd, nothing):
     assert suffix.digests(odd).count() == odd.count()
     kept = suffix.deduplicate(odd)
