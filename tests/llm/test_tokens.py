@@ -28,6 +28,47 @@ def test_remembered_pieces_are_the_library_s(text):
     assert made.encode([text, text + " x"])[0] == want
 
 
+def test_remembered_pieces_take_bounded_memory(path):
+    """Of a million different words a worker keeps what takes under 80 MB."""
+    import sys
+
+    from rollbook.llm.tokens import WordTokenizer
+
+    made = WordTokenizer(path)
+    made._ids_of = lambda pieces: {x: b"\1\0" for x in pieces}
+    for at in range(0, 1_000_000, 50_000):
+        words = ["".join(chr(97 + k // 26**j % 26) for j in range(5)) for k in range(at, at + 50_000)]
+        assert made.encode([" ".join(words)]) == [np.ones(50_000, "<u4").tobytes()]
+    assert sys.getsizeof(made.known) + sum(sys.getsizeof(x) + sys.getsizeof(y) for x, y in made.known.items()) < 80e6
+
+
+def test_texts_of_known_pieces_cost_less_than_cutting_them_by_a_pattern(path):
+    import re
+    import time
+
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(2_000)]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(0, 500)]
+    made = tokenizer(path)
+    want = made.encode(texts)
+    pattern = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    known = dict.fromkeys(words, b"\1\0")
+    ours, pattern_s = [], []
+    for _ in range(3):
+        began = time.process_time()
+        assert made.encode(texts) == want
+        ours.append(time.process_time() - began)
+        began = time.process_time()
+        for t in texts:
+            b"".join(map(known.__getitem__, pattern.findall(t.lower())))
+        pattern_s.append(time.process_time() - began)
+    assert min(ours) < 0.8 * min(pattern_s)
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["", " \n"], ["", "é", "数", ""], ["1", "12é3", "É«a»", "x_y’s"], ["a<b", "", "don't", "ab"]])
+def test_groups_of_odd_texts(path, encode, texts):
+    assert tokenizer(path).encode(texts) == [np.array(encode(t), "<u4").tobytes() for t in texts]
+
+
 def test_token_files(spark, small, encode):
     docs = {r.doc_id: r.text for r in small("documents").select("doc_id", "text").collect()}
     start = 0
