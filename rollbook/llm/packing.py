@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, small_batches
+from .common import drop, save, small_batches
 from .tokens import tokenizer
 
 CAPACITY = 4096
@@ -188,7 +188,8 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY)
     places. Any other columns stay; an empty table stays empty.
     """
     spark = pieces.sparkSession
-    rest = pieces.drop("sequence_id", "offset", "__task", "__nth")
+    # written first: else a task that numbers pieces would hold two Python workers, one of them with the tokenizer
+    rest = save(pieces.drop("sequence_id", "offset", "__task", "__nth"), "cut")
     names = rest.columns
 
     def number(batches):
@@ -207,6 +208,7 @@ def pack(pieces: DataFrame, *, length: str = "length", capacity: int = CAPACITY)
             yield batch.append_column("__task", pa.array(np.full(len(k), task), pa.int32())).append_column("__nth", pa.array(nth, pa.int64()))
 
     numbered = save(rest.mapInArrow(number, T.StructType([*rest.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__nth", T.LongType())])), "pieces")
+    drop(rest)
     counts = save(numbered.groupBy("__task", length).agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy(length).agg(F.sum("n")).collect()}  # capacity rows at most
     places = spark.sparkContext.broadcast(Plan(histogram, capacity).places())

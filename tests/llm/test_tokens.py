@@ -69,6 +69,18 @@ def test_groups_of_odd_texts(path, encode, texts):
     assert tokenizer(path).encode(texts) == [np.array(encode(t), "<u4").tobytes() for t in texts]
 
 
+def test_packing_runs_one_python_worker_a_task(spark, small, path, monkeypatch):
+    plans = []
+
+    def noted(df, name, save=packing.save):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(packing, "save", noted)
+    packing.pack(packing.digest(packing.cut_documents(small("documents"), path, end_id=1))).count()
+    assert plans and all(p.count("MapInArrow") <= 1 for p in plans)
+
+
 def test_token_files(spark, small, encode):
     docs = {r.doc_id: r.text for r in small("documents").select("doc_id", "text").collect()}
     start = 0
