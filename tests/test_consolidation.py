@@ -1,5 +1,6 @@
 """Jobs that SQL doesn't express against plain versions, and searches."""
 
+import pathlib
 import random
 from datetime import date, timedelta
 
@@ -82,6 +83,40 @@ def test_records_of_one_name_are_not_paired(spark):
     assert {r.node: r.root for r in linkage.trigram_components(df, "id", F.col("name"), 0.8).collect()} == {1: 1, 2: 1, 3: 1}
 
 
+def test_pairs_of_many_records_are_dealt_and_lie_closely(spark, new_folder):
+    n = 4000
+    df = spark.range(n).select("id", F.concat(F.lit("habib trading "), F.substring(F.lit("xyz"), (F.col("id") % 3 + 1).cast("int"), F.lit(1))).alias("name"))
+    linkage.trigram_join(df, None, "id", F.col("name"), 0.7).withColumn("task", F.spark_partition_id()).write.parquet(f"{new_folder}/pairs")
+    made = spark.read.parquet(f"{new_folder}/pairs")
+    assert made.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b")).first() == (n * (n - 1) // 2, sum(a * (n - 1 - a) for a in range(n)), sum(b * b for b in range(n)))
+    assert made.where("similarity = 1").count() == sum(1 for a in range(n) for b in range(a + 3, n, 3)) and made.where("a >= b").count() == 0
+    each = [r["count"] for r in made.groupBy("task").count().collect()]
+    assert len(each) > 1 and max(each) < 0.6 * sum(each)
+    assert sum(f.stat().st_size for f in pathlib.Path(new_folder, "pairs").glob("*.parquet")) < 0.5 * sum(each)
+
+
+def test_pairs_of_records_that_repeat(spark):
+    rows = [(1, "aaaa"), (2, "aaaa"), (2, "aaaa"), (2, "bbbb"), (3, "bbbb"), (3, "bbbb b"), (4, "cccc"), (None, "cccc"), (5, None)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    g = [(i, grams(n)) for i, n in rows if i is not None and n]
+    want = sorted((i, j) for i, x in g for j, y in g if i < j and len(x & y) >= 0.5 * len(x | y))
+    assert sorted((r.a, r.b) for r in linkage.trigram_join(df, None, "id", F.col("name"), 0.5).collect()) == want and len(want) > len(set(want))
+
+
+def test_proposals_come_in_order_without_a_sort_of_them(spark):
+    words = ["habib", "trading", "international", "micro", "general"]
+    made = {k: " ".join(words[: 2 + k % 4]) + " " + "abcdef"[k % 6] for k in range(300)}
+    found = consolidation.proposals(spark.createDataFrame(list(made.items()), "id long, name string"), 0.65)
+    g = {k: grams(n) for k, n in made.items()}
+    want = {(a, b): round(round(len(g[a] & g[b]) / len(g[a] | g[b]), 4), 2) for a in g for b in g if a < b and 0.65 * len(g[a] | g[b]) <= len(g[a] & g[b]) < 0.9 * len(g[a] | g[b])}
+    have = found.collect()
+    assert {(r.a, r.b): r.similarity for r in have} == want and len(have) == len(want)
+    said = [r.similarity for r in have]
+    assert said == sorted(said, reverse=True) and len(set(said)) > 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Generate") < plan.find("Sort")
+
+
 def folded(rows):
     """Appointments in order: (person, structure, place, seat, post, type, day, id)."""
     tenures, seats = [], {}
